@@ -58,7 +58,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), s AS (
   SELECT doc_id, list_distinct(CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: CAST(hash(array_to_string(ws[i:i + 4], ' ')) AS VARCHAR)) END) AS g FROM w
 ), t AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s WHERE len(g) > 0),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM p WHERE 100 * i >= 80 * (na + nb - i)),
