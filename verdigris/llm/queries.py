@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, mixing, ngram_join
+from . import ann, bpe, embedding_dedup, html_text, lm, mixing, ngram_join, quality, url_filter, warc
 from ._shared import table
 
 
@@ -36,7 +37,49 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_bpe_codec, op3_ngram_jaccard_join, op4_source_mixing)}
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of a page are those of the document with its number: bad if toxic or of low quality."""
+    bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), labels)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_bpe_codec,
+        op3_ngram_jaccard_join,
+        op4_source_mixing,
+        op5_url_filter,
+        op6_quality_classifier,
+        op7_html_extraction,
+        op8_warc_dictionary,
+        op9_nearest_neighbours,
+        op10_lm_scoring,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": """
@@ -65,5 +108,13 @@ links AS (SELECT a, b FROM p WHERE 100 * i >= 80 * (na + nb - i)),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 m AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, least(s.doc_id, m.low) AS component_id FROM s LEFT JOIN m ON m.a = s.doc_id
+""",
+    "op8_warc_dictionary": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+f AS (SELECT h, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY h)
+SELECT p.page_id, p.n AS payload_bytes, sha256(p.h) AS payload_digest,
+  CASE WHEN f.first_id IS NULL OR f.first_id = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON f.h = p.h AND p.n >= 100
 """,
 }
