@@ -93,14 +93,17 @@ def mix(
     block_tokens: int = 16,
     shard_tokens: int = 1 << 20,
     seed: int = 7,
+    keep_plan: bool = False,
 ) -> DataFrame:
     """Per row of ``docs``: id, source, size, source_size, target, taken (words that the mix takes, repeats counted).
 
     Null texts and texts of white space have size 0 and nothing is taken from them; a null source is a source of its
     own, after the others. Rows that are the same are mixed as separate rows; which of them is first makes no
     difference to the result. An empty table gives no rows. Other columns are ignored, whatever their names. Reruns give the same rows.
+    With ``keep_plan``: also what ``apply_mix`` needs of the plan.
     """
-    sized = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
+    plan_key = [F.xxhash64(docs[text_col]).alias("_th")] if keep_plan else []
+    sized = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), *plan_key)
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, max_repeats=max_repeats)
     blocks = F.floor(F.col("source_size") * max_repeats / block_tokens) + 1
     wanted = F.round(F.sum("target").over(Window.partitionBy()) / block_tokens).cast("long")
@@ -135,4 +138,32 @@ def mix(
 
     touched = F.sequence(F.floor(F.col("_begin") / block_tokens), F.floor((F.col("_end") - 1) / block_tokens))
     partial = F.when((F.col("size") > 0) & (F.col("_rest") > 0), F.aggregate(touched, F.lit(0).cast("long"), lambda a, b: a + words_of(b))).otherwise(F.lit(0).cast("long"))
-    return rows.select(F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target", (F.col("size") * F.col("_passes") + partial).alias("taken"))
+    plan = ["_th", "_begin", "_passes", "_rest", "_stride", "_shift", "_blocks"] if keep_plan else []
+    return rows.select(F.col("id").alias(id_col), F.col("source"), *plan, "size", "source_size", "target", (F.col("size") * F.col("_passes") + partial).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_tokens: int = 16, **options) -> DataFrame:
+    """The documents of the mix, all columns of ``docs``: a copy for every whole pass, and one with the words of the chosen blocks.
+
+    The words of all copies of a document are ``taken`` words of ``mix``. Whole copies keep their text; in a part of
+    one the words stand apart by a space. Documents of which nothing is taken go, as do those without words.
+    """
+    plan = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, block_tokens=block_tokens, keep_plan=True, **options).where("taken > 0")
+    plan = plan.select(F.col(id_col).alias("_id"), "_th", "size", "taken", "_begin", "_passes", "_rest", "_stride", "_shift", "_blocks")
+    plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_begin")))
+    names = docs.columns
+    rows = docs.withColumn("_id", docs[id_col]).withColumn("_th", F.xxhash64(docs[text_col]))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id")))
+    mine, theirs = rows.alias("d"), plan.alias("p")
+    on = F.col("d._id").eqNullSafe(F.col("p._id")) & (F.col("d._th") == F.col("p._th")) & (F.col("d._nth") == F.col("p._nth"))
+    both = mine.join(theirs, on).select("d.*", "p.size", "p.taken", "p._begin", "p._passes", "p._rest", "p._stride", "p._shift", "p._blocks")
+    both = both.withColumn("_partial", F.col("taken") - F.col("_passes") * F.col("size"))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+
+    def chosen(_: Column, i: Column) -> Column:
+        block = F.floor((F.col("_begin") + i) / block_tokens)
+        return F.pmod(block * F.col("_stride") + F.col("_shift"), F.col("_blocks")) < F.col("_rest")
+
+    whole = both.where("_passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_passes")))).select(*names)
+    part = both.where("_partial > 0").withColumn(text_col, F.array_join(F.filter(words, chosen), " ")).select(*names)
+    return whole.unionByName(part)

@@ -91,8 +91,8 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, max_blocks: int | None) -> DataFrame:
-    """(doc_id, n, cls, keys, sketch) per row; cls: a 64-bit hash of the set, null for an empty one."""
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    """(doc_id, text_hash, n, cls, keys, sketch) per row; cls: a 64-bit hash of the set, null for an empty one."""
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
     kind = source.schema["doc_id"].dataType.simpleString()
     edges = band_edges(threshold)
 
@@ -110,9 +110,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: flo
                         cls.append(set_name(tokens))
                         own, folded = sketch_one(tokens, edges, threshold, max_blocks)
                         keys.append(own), sketch.append(folded)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(2), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
 
-    return source.mapInArrow(run, f"doc_id {kind}, n bigint, cls bigint, keys array<bigint>, sketch binary")
+    return source.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n bigint, cls bigint, keys array<bigint>, sketch binary")
 
 
 def _distances(sketch: np.ndarray, i: int) -> np.ndarray:
@@ -231,7 +231,7 @@ def jaccard_join(
     max_blocks: int | None = MAX_BLOCKS,
     keep_links: bool = False,
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """Per row of ``docs``: id, n_shingles, class_id, component_id.
+    """Per row of ``docs``: id, text_hash (xxhash64 of the text), n_shingles, class_id, component_id.
 
     class_id is the smallest id with the same set, component_id the smallest reachable by links between documents
     whose sets have a Jaccard similarity of ``percent`` / 100 or more. Null or empty texts have n_shingles 0 and are
@@ -268,8 +268,9 @@ def jaccard_join(
     smallest = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     named = materialize(named.join(smallest, "comp").select("cls", "class_id", "component_id"), "named")
     empty = F.col("cls").isNull()
-    out = base.select("doc_id", "n", "cls").join(named, "cls", "left").select(
+    out = base.select("doc_id", "text_hash", "n", "cls").join(named, "cls", "left").select(
         F.col("doc_id").alias(id_col),
+        "text_hash",
         F.col("n").alias("n_shingles"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -279,3 +280,20 @@ def jaccard_join(
     ids = named.select("cls", "class_id")
     a, b = ids.toDF("a", "class_a"), ids.toDF("b", "class_b")
     return out, links.join(a, "a").join(b, "b").select("class_a", "class_b")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one of each component stays: that with the component's id.
+
+    Of several rows with that id the one whose text hashes lowest stays, of rows that are the same one. Texts without
+    words are components of their own id; rows with a null id stay unless their component has an id.
+    """
+    joined = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
+    component = F.col("component_id")
+    stays = joined.where(F.col(id_col).eqNullSafe(component)).groupBy(component, F.when(component.isNull(), F.col("text_hash")).alias("_own")).agg(F.min("text_hash").alias("_th"), F.count("*").alias("_rows"))
+    stays = materialize(stays.select(F.col("component_id").alias("_id"), "_th", "_rows"), "stays")
+    match = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_th"))
+    kept = docs.join(stays, match)
+    once = kept.where("_rows = 1").select(*[docs[c] for c in docs.columns])
+    again = kept.where("_rows > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates([id_col, text_col])
+    return once if stays.where("_rows > 1").isEmpty() else once.unionByName(again)

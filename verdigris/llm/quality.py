@@ -203,3 +203,19 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     model = train(docs, labels, id_col=id_col, text_col=text_col, folds=folds)
     held = F.coalesce(remainder(F.col(id_col), folds) == 0, F.lit(False))
     return score(docs, model, id_col=id_col, text_col=text_col).select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: NbSvm, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.slope, model.shift))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = NbSvm(*shared.value)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                margin = np.array([mine.margin(f) for f in feature_sets(batch.column(at))], np.float64)
+                yield batch.filter(pa.array(mine.score(margin) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
