@@ -60,7 +60,7 @@ def cycle_findings(edges: DataFrame, task: str = "task_id", source: str = "sourc
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         loops = cycles_of(zip(rows["a"], rows["b"], strict=True))
-        return pd.DataFrame({"task_id": [rows["task_id"].iloc[0]] * len(loops), "cycle": [list(x) for x in loops]})
+        return pd.DataFrame({"task_id": pd.Series([rows["task_id"].iloc[0]] * len(loops), dtype=object), "cycle": pd.Series([list(x) for x in loops], dtype=object)})
 
     # Only tasks that can have one: a node with both an incoming and an outgoing edge.
     inner = named.join(named.select("task_id", F.col("b").alias("a")).distinct(), ["task_id", "a"], "left_semi")
