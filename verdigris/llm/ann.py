@@ -26,8 +26,8 @@ from ._shared import materialize
 from .embedding_dedup import vectors_of
 
 SAMPLE = 16_384
-#: Rows of a list, about; the number of lists lies between LEAST and SAMPLE / 32.
-LIST_ROWS, LEAST_LISTS = 256, 4
+#: Rows of a list, about; at most SAMPLE / 32 lists, and one for fewer rows than two lists hold.
+LIST_ROWS = 256
 REPLICAS, CLOSURE = 4, 1.25
 PART_ROWS = 8192
 QUERY_ROWS = 4096
@@ -215,7 +215,7 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
     widths = np.asarray(drawn.column("d"))
     for d in np.unique(widths):
         x = _matrix(drawn.column("vec").take(pa.array(np.flatnonzero(widths == d))).to_pylist())
-        lists = int(max(LEAST_LISTS, min(sizes[d]["n"] // list_rows, len(x) // 32)))
+        lists = int(max(1, min(sizes[d]["n"] // list_rows, len(x) // 32)))
         fitted[int(d)] = Centroids.fit(x, lists, sizes[d]["top"])
         fitted[int(d)].calibrate(x, k, recall)
     shared = spark.sparkContext.broadcast(fitted)

@@ -152,18 +152,18 @@ def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sou
     plan = plan.select(F.col(id_col).alias("_id"), "_th", "size", "taken", "_begin", "_passes", "_rest", "_stride", "_shift", "_blocks")
     plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_begin")))
     names = docs.columns
-    rows = docs.withColumn("_id", docs[id_col]).withColumn("_th", F.xxhash64(docs[text_col]))
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs[id_col].alias("_id"), F.xxhash64(docs[text_col]).alias("_th"))  # a struct, so that no column can clash
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id")))
     mine, theirs = rows.alias("d"), plan.alias("p")
     on = F.col("d._id").eqNullSafe(F.col("p._id")) & (F.col("d._th") == F.col("p._th")) & (F.col("d._nth") == F.col("p._nth"))
-    both = mine.join(theirs, on).select("d.*", "p.size", "p.taken", "p._begin", "p._passes", "p._rest", "p._stride", "p._shift", "p._blocks")
+    both = mine.join(theirs, on).select("d._row", "p.size", "p.taken", "p._begin", "p._passes", "p._rest", "p._stride", "p._shift", "p._blocks")
     both = both.withColumn("_partial", F.col("taken") - F.col("_passes") * F.col("size"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col("_row")[text_col], F.lit(WORD), F.lit(0))
 
     def chosen(_: Column, i: Column) -> Column:
         block = F.floor((F.col("_begin") + i) / block_tokens)
         return F.pmod(block * F.col("_stride") + F.col("_shift"), F.col("_blocks")) < F.col("_rest")
 
-    whole = both.where("_passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_passes")))).select(*names)
-    part = both.where("_partial > 0").withColumn(text_col, F.array_join(F.filter(words, chosen), " ")).select(*names)
+    whole = both.where("_passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_passes")))).select("_row.*")
+    part = both.where("_partial > 0").select(F.col("_row").withField(text_col, F.array_join(F.filter(words, chosen), " ")).alias("_row")).select("_row.*")
     return whole.unionByName(part)

@@ -135,7 +135,7 @@ def _write_rows(rows: Iterable[dict], folder: str, limit: int) -> Iterator[dict]
     def close() -> dict:
         name = f"{at}/{uuid.uuid4().hex}.warc.zst"
         raw = writer.to_bytes()
-        with store.open_output_stream(name) as out:
+        with store.open_output_stream(name, compression=None) as out:
             out.write(raw)
         return {"archive": name, "records": len(writer.records) - 1, "bytes": len(raw)}
 
@@ -214,7 +214,7 @@ def read_warc(archives: DataFrame, *, id_type: str = "bigint") -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 store, at = _place(path)
-                with store.open_input_stream(at) as f:
+                with store.open_input_stream(at, compression=None) as f:
                     raw = f.read()
                 held = []
                 for record in read_archive(raw):
