@@ -7,8 +7,9 @@
   A list that holds many rows all the same, such as one of copies, is cut into parts of PART_ROWS by a hash, and a
   query that selects the list goes to all of them; so no task has more than a part.
 * Search: a best-first search in a neighbour graph of the centroids finds a query's nearest ones; it selects the lists
-  whose distance is within a ratio of the nearest's. The ratio is the least that finds RECALL of the true neighbours
-  of sampled queries in the sample, by brute force. Rows of the lists are scored exactly, in double precision.
+  whose distance is within a ratio of the nearest's (or of a typical nearest one, if that is larger), and as many of
+  the nearest as hold enough different rows. The ratio is the least that finds RECALL of the true neighbours of
+  sampled queries in the sample, by brute force. Rows of the lists are scored exactly, in double precision.
 """
 
 from __future__ import annotations
@@ -41,12 +42,15 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """Points and their neighbour graph; ``top`` is the largest norm of a row, ``ratio`` prunes the lists of a query."""
+    """Points and their neighbour graph; ``top`` is the largest norm of a row. ``ratio`` prunes the lists of a query, whose nearest distance counts as ``floor`` (squared) at least; it looks into lists of ``least`` rows in all."""
 
     points: np.ndarray
     graph: np.ndarray
     top: float
     ratio: float = 1.0
+    floor: float = 0.0
+    sizes: np.ndarray | None = None
+    least: int = 0
 
     @classmethod
     def fit(cls, x: np.ndarray, lists: int, top: float, seed: int = 17) -> "Centroids":
@@ -117,7 +121,8 @@ class Centroids:
         member = np.zeros((len(x), len(self.points)), bool)
         member[np.arange(len(x))[:, None].repeat(place.shape[1], 1)[place >= 0], place[place >= 0]] = True
         order, far = self.search(self.aim(asked), len(self.points))
-        ratio = np.sqrt(far / np.maximum(far[:, :1], 1e-12))
+        self.floor = float(np.median(far[:, 0]))
+        ratio = np.sqrt(far / np.maximum(far[:, :1], max(self.floor, 1e-12)))
         need = np.full(near.shape, np.inf)  # the ratio that the query needs for this neighbour
         for i in range(len(asked)):
             on = member[near[i]][:, order[i]]
@@ -139,7 +144,10 @@ class Centroids:
     def select(self, q: np.ndarray) -> list[np.ndarray]:
         """The lists that each query looks into."""
         order, far = self.search(self.aim(q), len(self.points))
-        keep = far <= far[:, :1] * self.ratio**2 + 1e-12
+        keep = far <= np.maximum(far[:, :1], self.floor) * self.ratio**2 + 1e-12
+        if self.sizes is not None:
+            before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+            keep |= before < self.least
         return [o[k] for o, k in zip(order, keep, strict=True)]
 
 
@@ -218,9 +226,14 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
         lists = int(max(1, min(sizes[d]["n"] // list_rows, len(x) // 32)))
         fitted[int(d)] = Centroids.fit(x, lists, sizes[d]["top"])
         fitted[int(d)].calibrate(x, k, recall)
+    index = materialize(_route(rows, spark.sparkContext.broadcast(fitted), queries=False), "postings")
+    held = index.groupBy("d", "list").count().collect()  # one row for each list
+    for d, centroids in fitted.items():
+        centroids.sizes, centroids.least = np.zeros(len(centroids.points), np.int64), (k + 1) * REPLICAS  # no row stands in more lists than that
+        for r in held:
+            if r["d"] == d:
+                centroids.sizes[r["list"]] = r["count"]
     shared = spark.sparkContext.broadcast(fitted)
-
-    index = materialize(_route(rows, shared, queries=False), "postings")
     asks = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "d")).alias("q")).select("vec_id", "q.d", "q.vec")
     asks = materialize(_route(asks, shared, queries=True), "asked")
 
