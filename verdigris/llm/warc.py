@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize, shared_dir
@@ -163,19 +163,19 @@ def write_warc(pages: DataFrame, *, folder: str | None = None, id_col: str = "pa
     folder = folder or f"{shared_dir(spark)}/verdigris-warc-{uuid.uuid4().hex}"
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    groups = rows.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    mine = rows.join(groups, "digest", "left").withColumn("known", F.col("first_id").isNotNull())
-    # Rows of the smallest id, should it be repeated (or null throughout): one is the response.
-    same = Window.partitionBy("digest", "page_id").orderBy("url")
-    firsts = rows.where(F.col("size") >= min_revisit).groupBy("digest", "page_id").agg(F.count("*").alias("same")).where("same > 1")
-    mine = mine.join(firsts.select(F.col("digest").alias("d2"), F.col("page_id").alias("p2")), (F.col("digest") == F.col("d2")) & F.col("page_id").eqNullSafe(F.col("p2")), "left")
-    repeated = mine.where(F.col("d2").isNotNull()).withColumn("again", F.row_number().over(same) > 1)
-    single = mine.where(F.col("d2").isNull()).withColumn("again", F.lit(False))
-    laid = single.union(repeated).select(
-        "page_id", "url", "payload", "digest", "size",
-        (F.col("again") | (F.col("known") & ~F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False)))).alias("revisit"),
-        F.coalesce("first_id", F.when(F.col("again"), F.col("page_id"))).alias("refers_to"),
-    )
+    # Which row of equal payloads comes first is found from ids and digests alone; payloads move once, to meet it.
+    place = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "url")
+    known = rows.where(F.col("size") >= min_revisit).select("digest", place.alias("place"))
+    groups = known.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    mine = rows.join(groups, "digest", "left").withColumn("later", F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")))
+    same = known.groupBy("digest", "place").agg(F.count("*").alias("copies")).where("copies > 1")
+    same = materialize(same.select(F.col("digest").alias("_digest"), F.col("place").alias("_place"), "copies"), "repeated")
+    if not same.isEmpty():  # rows alike in id, url and payload: one of them stands for all, and is written as often as it comes
+        match = (F.col("digest") == F.col("_digest")) & place.eqNullSafe(F.col("_place"))
+        once = mine.join(same, match, "left_anti")
+        again = mine.join(same, match).dropDuplicates(["digest", "page_id", "url"]).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        mine = once.unionByName(again.withColumn("later", F.col("later") | (F.col("_nth") > 1)).drop("_digest", "_place", "copies", "_nth"))
+    laid = mine.select("page_id", "url", "payload", "digest", "size", F.col("later").alias("revisit"), F.when(F.col("later"), F.col("first.page_id")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def every() -> Iterator[dict]:
