@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from verdigris import ship
 from verdigris.llm import bpe, mixing, ngram_join, quality
 from verdigris.llm._shared import materialize, table
-from verdigris.llm.queries import tokenizer_path
+from verdigris.llm.bpe import tokenizer_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -355,7 +355,7 @@ def test_quality(spark, docs, empty):
 
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(2)
-    rows = [np.unique(np.concatenate([rng.integers(10, 60, 8), [g]])).astype(np.int32) for g in (0, 1) * 100]
+    rows = quality.Features.of([np.unique(np.concatenate([rng.integers(10, 60, 8), [g]])).astype(np.int32) for g in (0, 1) * 100])
     good = np.array([False, True] * 100)
     ratio = quality.log_ratio(rows, good)
     weight, bias = quality.descend(rows, ratio, np.where(good, 1, -1))

@@ -28,6 +28,16 @@ _WINDOW = 16
 _open: dict[str, "ChunkCodec"] = {}
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the encoding queries; VERDIGRIS_TOKENIZER names another."""
+    named = os.environ.get("VERDIGRIS_TOKENIZER")
+    if named:
+        return named
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 class _Cache(dict):
     """A dict that drops everything but its newer half when it is full."""
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Primes above any number of blocks a shard can have; one of them steps through the blocks of a shard.
 _STEPS = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -104,20 +106,22 @@ def mix(
     """
     plan_key = [F.xxhash64(docs[text_col]).alias("_th")] if keep_plan else []
     sized = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), *plan_key)
-    sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, max_repeats=max_repeats)
+    totals = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
+    sources = source_targets(totals, weights=weights, share=share, max_repeats=max_repeats)
     blocks = F.floor(F.col("source_size") * max_repeats / block_tokens) + 1
     wanted = F.round(F.sum("target").over(Window.partitionBy()) / block_tokens).cast("long")
     numbered = sources.withColumn("part", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("_most", blocks).withColumn("_one", F.lit(1))
     given = sainte_lague(numbered, ["_one"], wanted, "target", "_most").withColumnRenamed("quota", "source_quota").drop("_most", "_one", "part")
-    given = given.withColumn("_shards", F.floor(F.col("source_size") / shard_tokens).cast("long") + 1)
+    # The tables of sources and shards are small, and asked for more than once: written, they keep the plans short.
+    given = materialize(given.withColumn("_shards", F.floor(F.col("source_size") / shard_tokens).cast("long") + 1), "sources")
 
     mine, theirs = sized.alias("d"), given.alias("s")
     placed = mine.join(theirs, F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.source_quota", "s._shards")
     placed = placed.withColumn("_order", F.xxhash64(F.col("id").cast("string"), F.lit(seed))).withColumn("part", F.pmod("_order", F.col("_shards")))
 
     shards = placed.groupBy("source", "part").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    shards = shards.withColumn("_blocks", F.ceil(F.col("shard_size") / block_tokens).cast("long")).withColumn("_most", F.col("_blocks") * max_repeats)
-    quotas = sainte_lague(shards, ["source"], F.col("source_quota"), "shard_size", "_most").select("source", "part", "shard_size", "_blocks", "quota")
+    shards = materialize(shards.withColumn("_blocks", F.ceil(F.col("shard_size") / block_tokens).cast("long")).withColumn("_most", F.col("_blocks") * max_repeats), "shards")
+    quotas = materialize(sainte_lague(shards, ["source"], F.col("source_quota"), "shard_size", "_most").select("source", "part", "shard_size", "_blocks", "quota"), "quotas")
 
     left, right = placed.alias("d"), quotas.alias("q")
     rows = left.join(right, F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.part") == F.col("q.part"))).select("d.*", "q._blocks", "q.quota")

@@ -79,11 +79,36 @@ class NbSvm:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
-def descend(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 3) -> tuple[np.ndarray, float]:
+class Features:
+    """Feature sets of many texts as one array with offsets; iterates and slices like a list of arrays."""
+
+    def __init__(self, values: np.ndarray, offsets: np.ndarray, picked: np.ndarray | None = None):
+        self.values, self.offsets = values, offsets
+        self.picked = np.arange(len(offsets) - 1) if picked is None else picked
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> "Features":
+        return cls(np.concatenate(rows) if rows else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64))
+
+    def __len__(self) -> int:
+        return len(self.picked)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        at = self.picked[i]
+        return self.values[self.offsets[at] : self.offsets[at + 1]]
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self[i] for i in range(len(self)))
+
+    def take(self, which: np.ndarray) -> "Features":
+        return Features(self.values, self.offsets, self.picked[which])
+
+
+def descend(rows: Features, ratio: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 3) -> tuple[np.ndarray, float]:
     """Hinge loss by dual coordinate descent (Hsieh et al. 2008), features scaled by ``ratio``; y is 1 or -1."""
     weight, bias = np.zeros(len(ratio)), 0.0
-    values = [ratio[r] / np.sqrt(max(1, len(r))) for r in rows]
-    diagonal = np.array([v @ v + 1.0 for v in values])
+    scaled = lambda r: ratio[r] / np.sqrt(max(1, len(r)))
+    diagonal = np.array([(v := scaled(r)) @ v + 1.0 for r in rows])
     share = {s: len(y) / (2 * max(1, (y == s).sum())) for s in (-1, 1)}
     limit = np.array([cost * share[s] for s in y])
     alpha = np.zeros(len(rows))
@@ -91,11 +116,13 @@ def descend(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: floa
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (weight[rows[i]] @ values[i] + bias) - 1
+            row = rows[i]
+            value = scaled(row)
+            gradient = y[i] * (weight[row] @ value + bias) - 1
             new = min(max(alpha[i] - gradient / diagonal[i], 0.0), limit[i])
             step = (new - alpha[i]) * y[i]
             if step:
-                weight[rows[i]] += step * values[i]
+                weight[row] += step * value
                 bias += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
@@ -104,7 +131,7 @@ def descend(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: floa
     return weight * ratio, bias
 
 
-def log_ratio(rows: list[np.ndarray], good: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+def log_ratio(rows: Features, good: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     counts = np.full((2, FEATURES), smooth)
     for r, g in zip(rows, good, strict=True):
         counts[int(g)][r] += 1
@@ -112,7 +139,7 @@ def log_ratio(rows: list[np.ndarray], good: np.ndarray, smooth: float = 1.0) ->
     return np.log(counts[1] / counts[0])
 
 
-def fit(rows: list[np.ndarray], good: np.ndarray) -> NbSvm:
+def fit(rows: Features, good: np.ndarray) -> NbSvm:
     """Fits on feature sets and labels. With one class only, or no row, the score is that class's smoothed share everywhere."""
     good = np.asarray(good, bool)
     if good.all() or not good.any():
@@ -122,12 +149,12 @@ def fit(rows: list[np.ndarray], good: np.ndarray) -> NbSvm:
     test = np.arange(len(rows)) % 5 == 4
     if good[~test].all() or not good[~test].any() or not test.any():
         test[:] = False
-    part = [r for r, t in zip(rows, test, strict=True) if not t]
+    part = rows.take(np.flatnonzero(~test))
     ratio = log_ratio(part, good[~test])
     weight, bias = descend(part, ratio, y[~test])
     sample = test if test.any() else ~test
     model = NbSvm(weight, bias, 1.0, 0.0)
-    margin = np.array([model.margin(r) for r, t in zip(rows, sample, strict=True) if t])
+    margin = np.array([model.margin(r) for r in rows.take(np.flatnonzero(sample))])
     slope, shift = sigmoid(margin, good[sample])
     weight, bias = descend(rows, ratio := log_ratio(rows, good), y)
     return NbSvm(weight, bias, slope, shift)
@@ -158,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.where(labels[label_col].isNotNull() & labels[label_id].isNotNull()).groupBy(labels[label_id].alias("doc_id")).agg(F.max(labels[label_col]).cast("int").alias("y"))
     sample = known.where(remainder(F.col("doc_id"), folds) != 0).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_train).collect()
     if not sample:
-        return fit([], np.zeros(0, bool))
+        return fit(Features.of([]), np.zeros(0, bool))
     spark = docs.sparkSession
     picked = spark.createDataFrame(sample, known.schema)
     mine = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
@@ -171,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     table = got.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("f").alias("f")).toArrow().sort_by("doc_id")
     order = np.random.Generator(np.random.PCG64(9)).permutation(table.num_rows)
     lists = table.column("f").combine_chunks()
-    rows = [np.asarray(lists[int(i)].values) for i in order]
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    rows = Features(np.asarray(lists.values), np.asarray(lists.offsets).astype(np.int64), order)
     return fit(rows, np.asarray(table.column("y"))[order] > 0)
 
 

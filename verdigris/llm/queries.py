@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, embedding_dedup, html_text, lm, mixing, ngram_join, quality, url_filter, warc
 from ._shared import table
-
-
-def tokenizer_path() -> str:
-    """The vocabulary file of the encoding queries; VERDIGRIS_TOKENIZER names another."""
-    named = os.environ.get("VERDIGRIS_TOKENIZER")
-    if named:
-        return named
-    import public_tokenizers
-
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+from .bpe import tokenizer_path
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
