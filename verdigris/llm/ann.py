@@ -30,6 +30,8 @@ SAMPLE = 16_384
 #: Rows of a list, about; at most SAMPLE / 32 lists, and one for fewer rows than two lists hold.
 LIST_ROWS = 256
 REPLICAS, CLOSURE = 4, 1.25
+#: Lists whose hits say what the hits of a query's other lists must reach.
+FIRST = 4
 PART_ROWS = 8192
 QUERY_ROWS = 4096
 DEGREE = 24
@@ -141,14 +143,14 @@ class Centroids:
         keep = far <= far[:, :1] * CLOSURE**2 + 1e-12
         return np.where(keep, order, -1)
 
-    def select(self, q: np.ndarray) -> list[np.ndarray]:
-        """The lists that each query looks into."""
+    def select(self, q: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(lists that each query looks into, which of them it looks into first)"""
         order, far = self.search(self.aim(q), len(self.points))
         keep = far <= np.maximum(far[:, :1], self.floor) * self.ratio**2 + 1e-12
-        if self.sizes is not None:
-            before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
-            keep |= before < self.least
-        return [o[k] for o, k in zip(order, keep, strict=True)]
+        before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+        keep |= before < self.least
+        first = (before < self.least) | (np.arange(order.shape[1])[None, :] < FIRST)
+        return [o[k] for o, k in zip(order, keep, strict=True)], [f[k] for f, k in zip(first, keep, strict=True)]
 
 
 def lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -185,19 +187,20 @@ def _route(rows: DataFrame, shared, queries: bool) -> DataFrame:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 d = np.asarray(batch.column(1))
-                at, lists = [], []
+                at, lists, early = [], [], []
                 for width in np.unique(d):
                     mine = np.flatnonzero(d == width)
                     if width not in fitted:  # no row of this width was in the sample: one list holds them
-                        at.append(mine), lists.append(np.zeros(len(mine), np.int32))
+                        at.append(mine), lists.append(np.zeros(len(mine), np.int32)), early.append(np.ones(len(mine), bool))
                         continue
                     x = _matrix(batch.column(2).take(pa.array(mine)).to_pylist())
-                    chosen = fitted[width].select(x) if queries else [p[p >= 0] for p in fitted[width].assign(x)]
+                    chosen, first = fitted[width].select(x) if queries else ([p[p >= 0] for p in fitted[width].assign(x)], [])
+                    early.append(np.concatenate(first) if queries else np.zeros(sum(map(len, chosen)), bool))
                     at.append(np.repeat(mine, [len(c) for c in chosen])), lists.append(np.concatenate(chosen).astype(np.int32))
                 picked = pa.array(np.concatenate(at)) if at else pa.array([], pa.int64())
-                yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0).take(picked), "d": batch.column(1).take(picked), "vec": batch.column(2).take(picked), "list": np.concatenate(lists) if lists else np.zeros(0, np.int32)})
+                yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0).take(picked), "d": batch.column(1).take(picked), "vec": batch.column(2).take(picked), "list": np.concatenate(lists) if lists else np.zeros(0, np.int32), "early": np.concatenate(early) if early else np.zeros(0, bool)})
 
-    return rows.mapInArrow(run, f"vec_id {kind}, d int, vec binary, list int")
+    return rows.mapInArrow(run, f"vec_id {kind}, d int, vec binary, list int, early boolean")
 
 
 def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = LIST_ROWS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
@@ -251,6 +254,7 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
     asks = asks.withColumn("block", F.pmod(place, blocks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
 
     def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest rows of one part of a list for each query, if they reach what the query has already."""
         out: list[pd.DataFrame] = []
         if len(left) and len(right):
             order = np.argsort(right["vec_id"].to_numpy(), kind="stable")
@@ -258,20 +262,30 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
             x = _matrix([right["vec"].iloc[i] for i in order])
             for lo in range(0, len(left), 256):
                 asked = left["vec_id"].to_numpy()[lo : lo + 256]
-                score = np.einsum("qd,nd->qn", _matrix(list(left["vec"].iloc[lo : lo + 256])), x)  # each pair summed alike, so equal vectors tie
+                q = _matrix(list(left["vec"].iloc[lo : lo + 256]))
+                least = left["reach"].to_numpy(np.float64, na_value=-np.inf)[lo : lo + 256].copy()
+                score = q @ x.T
                 score[asked[:, None] == ids[None, :]] = -np.inf
                 if len(ids) > 4 * k:
-                    least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-                else:
-                    least = np.full(len(asked), -np.inf)
+                    least = np.maximum(least, np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k])
                 for i in range(len(asked)):
-                    some = np.flatnonzero((score[i] >= least[i]) & np.isfinite(score[i]))
-                    some = some[np.lexsort((ids[some], -score[i][some]))[:k]]
-                    out.append(pd.DataFrame({"query_id": asked[i], "vec_id": ids[some], "score": score[i][some]}))
+                    some = np.flatnonzero((score[i] >= least[i] - 1e-9 * max(1.0, abs(least[i]))) & np.isfinite(score[i])) if np.isfinite(least[i]) else np.flatnonzero(np.isfinite(score[i]))
+                    exact = np.einsum("nd,d->n", x[some], q[i])  # each pair summed alike, so equal vectors tie
+                    keep = np.lexsort((ids[some], -exact))[:k]
+                    out.append(pd.DataFrame({"query_id": asked[i], "vec_id": ids[some[keep]], "score": exact[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype=left["vec_id"].dtype), "vec_id": pd.Series(dtype=left["vec_id"].dtype), "score": pd.Series(dtype="float64")})
 
     keys = ["d", "list", "part", "block"]
-    found = asks.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(best, f"query_id {kind}, vec_id {kind}, score double")
-    merged = found.repartition("query_id").dropDuplicates(["query_id", "vec_id", "score"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
+
+    def hits(some: DataFrame) -> DataFrame:
+        return some.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(best, f"query_id {kind}, vec_id {kind}, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.repartition("query_id").dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order))
+
+    # What the k-th hit of its first lists scores is what a query's other lists have to reach, so they return few rows.
+    first = materialize(hits(asks.where("early").withColumn("reach", F.lit(None).cast("double"))), "first-hits")
+    reach = ranked(first).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reach"))
+    more = hits(asks.where("not early").join(reach, "vec_id", "left"))
+    return ranked(first.union(more)).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
