@@ -144,7 +144,7 @@ TOKENS = {"gen_ai.usage.input_tokens": "100", "gen_ai.usage.output_tokens": "20"
 def test_otlp(spark, tmp_path):
     path = write_otlp(tmp_path / "t.json", [span(1, None, "chat", **TOKENS), span(2, 1), span(3, 2, "execute_tool")])
     traces = otlp.inspect(spark, path)
-    assert (traces.inventory["model_calls"], traces.inventory["tool_calls"], traces.inventory["dependency_edges"]) == (1, 1, 1)
+    assert (traces.inventory["model_call_count"], traces.inventory["tool_call_count"], traces.inventory["dependency_edge_count"]) == (1, 1, 1)
     assert traces.tasks.first()["started_at"] == "2025-04-30T15:28:50.686364157Z"
     evidence = contracts.trace_evidence(spark, traces, filled(contracts.trace_template(traces), (True,)))
     assert evaluate(evidence).metrics["total_effective_cost_usd"] == pytest.approx(1.0 + 0.01 + 120 * 3 / 1e6)

@@ -61,7 +61,7 @@ def session_template(session: Session) -> dict:
 
 
 def adapter_of(session: Session) -> dict:
-    return {"privacy_mode": PRIVACY, "source_id": session.source_id, "source_version": "1", "task_unit": "external-user-prompt"}
+    return {"privacy_mode": PRIVACY, "source_id": session.source_id, "source_version": "1", "task_unit": session.task_unit}
 
 
 def labelled_tasks(contract: Mapping, expected: dict[str, tuple[str | None, str]]) -> tuple[list[tuple], list[tuple]]:
@@ -129,7 +129,7 @@ def price_session(session: Session, pricing: dict) -> tuple[list[tuple], dict[st
         tier = next(t for t in tiers[c.model] if t["limit"] is None or total <= t["limit"])
         micro = u["input_tokens"] * tier["input"] + u["output_tokens"] * tier["output"] + u["cache_read_input_tokens"] * tier["cache_read"] + sum(n * tier["write"][b] for b, n in u["cache_creation"].items())
         cost = micro / 1_000_000 + sum(n * served_rate[k] for k, n in u["server_tool_use"].items() if n)
-        rows.append((c.task_id, c.event_id, c.timestamp, "model", "agent.model", c.model, total, u["output_tokens"], cost, "ok", canonical_json({"price_card_id": card, "tier_limit": tier["limit"], "usage": u})))
+        rows.append((c.task_id, c.event_id, c.timestamp, "model", "claude-code.model", c.model, total, u["output_tokens"], cost, "ok", canonical_json({"price_card_id": card, "pricing_tier_up_to_input_tokens": tier["limit"], "usage": u})))
     rows += [(t.task_id, t.event_id, t.timestamp, "tool", t.name, "", 0, 0, tool_rate[t.name], t.status, canonical_json(t.arguments)) for t in session.tools]
     return rows, {m: {"input_per_million_usd": t[0]["input"], "output_per_million_usd": t[0]["output"]} for m, t in tiers.items()}
 
@@ -159,7 +159,7 @@ def session_evidence(spark: SparkSession, session: Session, contract: Mapping) -
 
 def trace_template(traces: otlp.Traces) -> dict:
     return _common() | {
-        "adapter": {"privacy_mode": "content-dropped-semantic-attributes-only", "source_id": traces.source_id, "source_version": "1", "task_unit": "contract-approved-trace"},
+        "adapter": dict(otlp.ADAPTER),
         "source_inventory": {k: v for k, v in traces.inventory.items() if k not in ("models", "tools")},
         "task_mapping": {"policy": "one-export-trace-is-one-evaluation-task", "approved_by": None},
         "pricing": {"price_card_id": None, "models": {m: {"input_per_million_usd": None, "output_per_million_usd": None} for m in traces.inventory["models"]}, "tools": dict.fromkeys(traces.inventory["tools"])},
@@ -172,6 +172,7 @@ def trace_evidence(spark: SparkSession, traces: otlp.Traces, contract: Mapping)
     from pyspark.sql import functions as F
 
     require(contract.get("schema_version") == VERSION, f"schema_version must be {VERSION}")
+    _checked(contract, "adapter", otlp.ADAPTER)
     _checked(contract, "source_inventory", {k: v for k, v in traces.inventory.items() if k not in ("models", "tools")})
     how = mapping(contract.get("task_mapping"), "task_mapping")
     require(how.get("policy") == "one-export-trace-is-one-evaluation-task", "task_mapping.policy is not supported")

@@ -13,7 +13,10 @@ from ..schemas import EvidenceError
 
 #: The attributes that pass, and the operations that are calls of models.
 ALLOWED = ("gen_ai.operation.name", "gen_ai.provider.name", "gen_ai.request.model", "gen_ai.response.model", "gen_ai.tool.name", "gen_ai.usage.input_tokens", "gen_ai.usage.output_tokens", "gen_ai.usage.cache_read.input_tokens", "gen_ai.usage.cache_creation.input_tokens", "error.type")
-MODEL_OPERATIONS = ("chat", "generate_content", "text_completion", "embeddings", "invoke_agent")
+MODEL_OPERATIONS = ("chat", "embeddings", "generate_content", "image_generation", "text_completion")
+#: The semantic conventions that attributes are read by, and what a contract calls this source.
+CONVENTIONS = {"semantic_conventions_version": "1.43.0", "semantic_conventions_genai_commit": "799e014b68f0e786dc44d9117c30758c5f864510"}
+ADAPTER = {"source_id": "source.otel-genai", "source_version": "1", "task_unit": "contract-approved-otel-trace", "privacy_mode": "content-dropped-semantic-attributes-only"} | CONVENTIONS
 VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,arrayValue:string,kvlistValue:string,bytesValue:string>"
 ATTRIBUTE = f"struct<key:string,value:{VALUE}>"
 SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,startTimeUnixNano:string,endTimeUnixNano:string,attributes:array<{ATTRIBUTE}>,status:struct<code:string>>"
@@ -62,6 +65,10 @@ def spans(traces: DataFrame) -> DataFrame:
         text("gen_ai.tool.name").alias("tool"),
         number("gen_ai.usage.input_tokens").alias("input_tokens"),
         number("gen_ai.usage.output_tokens").alias("output_tokens"),
+        number("gen_ai.usage.cache_read.input_tokens").alias("cache_read"),
+        number("gen_ai.usage.cache_creation.input_tokens").alias("cache_creation"),
+        F.coalesce(text("gen_ai.provider.name"), F.lit("")).alias("provider"),
+        F.concat_ws("@", "scope.name", F.nullif(F.col("scope.version"), F.lit(""))).alias("scope"),
         F.when(F.col("status.code").isin("2", "STATUS_CODE_ERROR") | text("error.type").isNotNull(), "error").otherwise("ok").alias("status"),
         (F.size(F.transform("attributes", lambda a: a["key"])) != F.size(F.array_distinct(F.transform("attributes", lambda a: a["key"])))).alias("_repeated"),
         (F.coalesce(F.col("scope.name"), F.lit("")) == "").alias("_unscoped"),
@@ -79,7 +86,8 @@ def spans(traces: DataFrame) -> DataFrame:
         .when(kind.isNull(), "unsupported operation")
         .when((F.col("kind") == "tool") & F.col("tool").isNull(), "tool span without a tool name")
         .when(model & F.col("model").isNull(), "model span without a model")
-        .when(model & (F.col("input_tokens").isNull() | (F.col("operation") != "embeddings") & F.col("output_tokens").isNull()), "model span without tokens")
+        .when(model & (F.least("input_tokens", "output_tokens", F.coalesce("cache_read", F.lit(0)), F.coalesce("cache_creation", F.lit(0))) < 0), "negative tokens")
+        .when(model & (F.col("input_tokens").isNull() | F.col("output_tokens").isNull()), "model span without tokens")
         .when(model & (tokens <= 0), "model span without positive tokens")
     )
     return rows.withColumn("problem", problem).drop("_repeated", "_unscoped", "_has_parent", "_bad_parent")
@@ -93,7 +101,7 @@ class Traces:
     tasks: DataFrame
     edges: DataFrame
     inventory: dict
-    source_id: str = "source.otel-genai-json"
+    source_id: str = "source.otel-genai"
 
 
 def inspect(spark: SparkSession, path: str) -> Traces:
@@ -109,16 +117,30 @@ def inspect(spark: SparkSession, path: str) -> Traces:
         raise EvidenceError(wrong)
     node = F.concat_ws(":", "trace_id", "span_id")
     tree = table.select(node.alias("node"), F.when(F.col("parent_id").isNotNull(), F.concat_ws(":", "trace_id", "parent_id")).alias("parent"), (F.col("kind") != "structural").alias("economic"))
-    event = lambda n: F.concat(F.lit("otel-"), F.col("kind"), F.lit("-"), F.sha2(n, 256))
+    event = F.concat(F.lit("otel-event-"), F.sha2(F.concat("trace_id", F.lit("\0"), "span_id"), 256))
     task = F.concat(F.lit("otel-task-"), F.sha2("trace_id", 256))
-    named = economic.withColumn("node", node)
-    events = named.select(task.alias("task_id"), event(F.col("node")).alias("event_id"), "timestamp", F.col("kind").alias("event_type"), F.coalesce("tool", "operation").alias("name"), F.when(F.col("kind") == "model", F.col("model")).otherwise("").alias("model"), F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"), "status")
-    tasks = table.groupBy("trace_id").agg(F.min("timestamp").alias("started_at")).join(economic.select("trace_id").distinct(), "trace_id", "left_semi").select(task.alias("task_id"), F.sha2("trace_id", 256).alias("input_digest"), "started_at")
+    is_model = F.col("kind") == "model"
+    named = economic.withColumn("node", node).withColumn("event_id", event)
+    tokens = [F.when(is_model, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias(c) for c in ("input_tokens", "output_tokens")]
+    events = named.select(task.alias("task_id"), "event_id", "timestamp", F.col("kind").alias("event_type"), F.when(is_model, F.col("operation")).otherwise(F.col("tool")).alias("name"), F.when(is_model, F.col("model")).otherwise("").alias("model"), *tokens, "status")
+    tasks = table.groupBy("trace_id").agg(F.min("timestamp").alias("started_at")).select(task.alias("task_id"), F.sha2(F.unhex("trace_id"), 256).alias("input_digest"), "started_at")
     above = graphs.nearest_marked(tree, "node", "parent", "economic").withColumnRenamed("node", "parent")
-    ids = named.select(F.col("node").alias("nearest"), event(F.col("node")).alias("source_event_id"))
+    ids = named.select(F.col("node").alias("nearest"), F.col("event_id").alias("source_event_id"))
     children = tree.where("economic and parent is not null").join(above, "parent").where("nearest is not null").join(ids, "nearest")
-    targets = named.select("node", event(F.col("node")).alias("target_event_id"))
-    edges = children.join(targets, "node").select("source_event_id", "target_event_id").distinct()
-    counts = table.agg(F.count("*").alias("spans"), F.count_if(F.col("kind") == "model").alias("model_calls"), F.count_if(F.col("kind") == "tool").alias("tool_calls"), F.count_distinct("trace_id").alias("traces"), F.sort_array(F.collect_set(F.when(F.col("kind") == "model", F.col("model")))).alias("models"), F.sort_array(F.collect_set("tool")).alias("tools")).first().asDict()
-    inventory = counts | {"dependency_edges": edges.count(), "sha256": sha256(canonical_json([r.asDict() for r in events.orderBy("task_id", "timestamp", "event_id").toLocalIterator()]))}
+    edges = children.join(named.select("node", F.col("event_id").alias("target_event_id")), "node").select("source_event_id", "target_event_id").distinct()
+    counts = table.agg(F.count("*").alias("span_count"), F.count_if(F.col("kind") == "structural").alias("structural_span_count"), F.count_distinct("trace_id").alias("task_count"), F.count_if(is_model).alias("model_call_count"), F.count_if(F.col("kind") == "tool").alias("tool_call_count"), F.sort_array(F.collect_set("scope")).alias("scopes"), F.sort_array(F.collect_set(F.when(is_model, F.col("model")))).alias("models"), F.sort_array(F.collect_set(F.when(F.col("kind") == "tool", F.col("tool")))).alias("tools")).first().asDict()
+    cache = [F.when(is_model, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias(f"{c}_input_tokens") for c in ("cache_read", "cache_creation")]
+    listed = named.select("event_id", task.alias("task_id"), "timestamp", "scope", "operation", F.col("kind").alias("event_type"), F.when(is_model, F.col("model")).otherwise("").alias("model"), F.when(is_model, F.lit("")).otherwise(F.col("tool")).alias("tool_name"), "provider", *tokens, *cache, "status")
+    links = [list(r) for r in edges.orderBy("source_event_id", "target_event_id").toLocalIterator()]
+    summary = {
+        "semconv_version": CONVENTIONS["semantic_conventions_version"],
+        "semconv_genai_commit": CONVENTIONS["semantic_conventions_genai_commit"],
+        "span_count": counts["span_count"],
+        "structural_span_count": counts["structural_span_count"],
+        "tasks": [{"task_id": r["task_id"], "trace_id_sha256": r["input_digest"], "started_at": r["started_at"]} for r in table.groupBy("trace_id").agg(F.min("timestamp").alias("started_at")).orderBy("trace_id").select(task.alias("task_id"), F.sha2(F.unhex("trace_id"), 256).alias("input_digest"), "started_at").toLocalIterator()],
+        "economic_spans": [r.asDict() for r in listed.orderBy("task_id", "timestamp", "event_id").toLocalIterator()],
+        "dependency_edges": links,
+    }
+    raw = [r[0] for r in spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).orderBy("h").collect()]
+    inventory = counts | {"dependency_edge_count": len(links), "raw_sha256": raw[0] if len(raw) == 1 else sha256(canonical_json(raw)), "inventory_sha256": sha256(canonical_json(summary))}
     return Traces(events, tasks, edges, inventory)
