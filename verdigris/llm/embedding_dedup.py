@@ -4,7 +4,7 @@
   nearest vertex of the cross-polytope: the place and sign of the largest component. A table's bucket joins ``width`` hashes.
 * Multiprobe: a vector goes to its ``probes`` nearest buckets of each table, by how far the components chosen instead
   fall below the largest ones. Two vectors are candidates if they share a bucket of a table. With the values
-  below, pairs at the threshold of 0.98 shared none in fewer than 1 of 100,000 trials (tests/llm measure it).
+  below, pairs at the threshold of 0.98 share none in 1 of 20,000 trials at most (tests/llm measure it).
 * Candidates are verified by their cosine in double precision, inside the bucket, so no pair leaves it.
 
 Equal vectors of one label are a class before anything is compared. A pair that several buckets hold is counted in
