@@ -243,6 +243,19 @@ def test_sketch_bounds_the_difference():
         assert set(ka.tolist()) & set(kb.tolist())
 
 
+@pytest.mark.parametrize("blocks", [42, None])
+def test_all_links_of_small_sets_share_a_key(blocks):
+    rng = np.random.default_rng(9)
+    edges = ngram_join.band_edges(0.8)
+    for a in range(4, 41):
+        for b in range(a, a * 5 // 4 + 1):
+            common = -(-80 * (a + b) // 180)  # the fewest in common that link them
+            for _ in range(60):
+                every = rng.integers(1, 1 << 62, a + b - common, dtype=np.uint64)
+                ka, kb = (set(ngram_join.sketch_one(np.unique(x), edges, 0.8, blocks)[0].tolist()) for x in (every[:a], every[a - common :]))
+                assert ka & kb, (a, b)
+
+
 def test_one_of_each(spark, docs):
     _, comp = brute_join(texts())
     kept = ngram_join.one_of_each(docs)

@@ -10,6 +10,9 @@ Jaccard similarity t, the larger of b elements, differ in at most 2b(1-t)/(1+t).
   linked documents agree on a whole block. Blocks are hashed to join keys; empty blocks are no keys. Of more than
   ``max_blocks`` blocks the first ``max_blocks`` are keys: at the threshold a block stays equal with probability
   1/e or more, so a link is missed with a probability below (1 - 1/e)^max_blocks, 5e-9 for 42; ``max_blocks=None`` keys all.
+* Prefix: two linked documents that agree on empty blocks only differ in every block that either fills, so both fill no
+  more blocks than they can differ in. Documents of so few filled blocks, if all their blocks are keys, are keyed by
+  the least of their hashed shingles too, so many that two linked sets have one of them in common.
 * A second, folded sketch of 1024 bits prunes the pairs of a bucket: its Hamming distance is a lower bound too.
 * What is left is verified on the exact sets.
 
@@ -61,11 +64,14 @@ def sketch_one(tokens: np.ndarray, edges: np.ndarray, threshold: float, max_bloc
         spots = tv.mix(tokens ^ _U(0x5851F42D4C957F2D))
         home = int(np.searchsorted(edges, n, side="right")) - 1
         levels = [home] + ([home + 1] if n / threshold + 1e-9 >= edges[home + 1] else [])
-        keys = []
+        keys, few = [], False
         for level in levels:
             blocks = int(most_apart(int(edges[level + 1]) - 1, threshold)) + 1
             used = blocks if max_blocks is None else min(blocks, max_blocks)
             block = ((spots >> _U(32)) * _U(blocks)) >> _U(32)
+            if used == blocks:
+                largest = min(int(n / threshold + 1e-9), int(edges[level + 1]) - 1)  # of the partners of this level
+                few = few or len(np.unique(block)) <= min(blocks - 1, int((n + largest) * (1 - threshold) / (1 + threshold) + 1e-9))
             mine = np.flatnonzero(block < _U(used))
             if not len(mine):
                 continue
@@ -76,6 +82,8 @@ def sketch_one(tokens: np.ndarray, edges: np.ndarray, threshold: float, max_bloc
             first = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
             value = np.bitwise_xor.reduceat(bit[order], first)
             keys.append(tv.mix(value + tv.mix(block[first] + _U(level << 32) + _U(1))))
+        if few:
+            keys.append(tv.mix(np.sort(tokens)[: n - int(np.ceil(threshold * n - 1e-9)) + 1] ^ _U(0x2545F4914F6CDD1D)))
         folded = np.zeros(SKETCH_BYTES * 8, np.uint8)
         np.bitwise_xor.at(folded, (spots & _U(SKETCH_BYTES * 8 - 1)).astype(np.int64), np.uint8(1))
         return (np.concatenate(keys) if keys else np.zeros(0, _U)).view(np.int64), np.packbits(folded).tobytes()
