@@ -544,6 +544,16 @@ def test_lm(spark, docs, empty, max_words):
     assert lm.score(empty).count() == 0
 
 
+@pytest.mark.parametrize(("max_nodes", "order"), [(40, 5), (1 << 20, 5), (0, 2)])
+def test_lm_keeps_every_gram(docs, max_nodes, order):
+    all_texts = texts()
+    train = [t for i, t in enumerate(all_texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    got = {r.doc_id: r.score for r in lm.score(docs, order=order, max_nodes=max_nodes).collect()}
+    for i, t in enumerate(all_texts):
+        if len(t or "") < 600:
+            assert got[i] == pytest.approx(brute_ppm(train, t, order, lm.ESCAPE), rel=1e-9)
+
+
 def test_ppm_is_a_distribution_even_if_pruned():
     import pyarrow as pa
 

@@ -3,12 +3,15 @@
 The text that is modelled is the sequence of its words (A-Z lower-cased), one space between two, and an end byte.
 
 * Trie: counts of all byte (order + 1)-grams of the training texts; a shorter context's counts are those of all longer
-  ones that end in it. Levels of more than ``max_nodes`` entries lose their rarest, by one threshold that is never
-  lower at a longer context, so whatever follows a context also follows its suffixes.
+  ones that end in it. No entry is left out.
 * Escape: a context in which D different symbols followed T times passes down with weight D * ESCAPE of T + D * ESCAPE.
 * Exclusion: below an escape the symbols of the longer context are left out, which takes from T and D of the shorter
   context a sum that belongs to the longer one alone; so it is computed once for each context, not for each position.
   Below order 0 the rest of the 256 byte values and the end share what is left alike.
+* Scores: grams are dealt by their last ROOT context bytes, so that a task has all longer contexts of its grams; the
+  levels of shorter contexts, at most 256^ROOT entries each, are sent to all. Every different gram is scored once. The
+  scores of the commonest, at most ``max_nodes``, are sent to all tasks and looked up there; the occurrences of all
+  other grams are joined with theirs by a shuffle.
 
 The base is a model of single words with one pseudo-count. Words with many counts, at most ``max_words``, are sent to
 all tasks; the occurrences of all other words are joined with the full counts by a shuffle, and so are exact too.
@@ -20,15 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _textvec as tv
 from ._shared import materialize
+from ._tiles import joined, runs
 
 ORDER = 5
-#: Entries that a level of the trie has at most, and words whose counts are broadcast at most.
-MAX_NODES, MAX_WORDS = 1_000_000, 1 << 18
+#: Grams whose scores, and words whose counts are broadcast at most.
+MAX_NODES, MAX_WORDS = 4_000_000, 1 << 18
+#: Context bytes by which grams are dealt to tasks.
+ROOT = 3
 #: Weight of a symbol that follows a context, in the estimate of the escape.
 ESCAPE = 0.5
 END = 10
@@ -70,12 +77,12 @@ def grams(stream: np.ndarray, begin: np.ndarray, order: int) -> np.ndarray:
 
 
 class Ppm:
-    """levels[k]: (sorted (k + 1)-grams, their counts), k from 0 to the order."""
+    """levels[k]: (sorted (k + 1)-grams, their counts), k from 0 to the order; ``below`` has the first of them worked out."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], escape: float = ESCAPE):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], escape: float = ESCAPE, below: "Ppm | None" = None):
         self.levels = levels
-        self.contexts = []
-        for k, (key, count) in enumerate(levels):
+        self.contexts = list(below.contexts) if below else []
+        for k, (key, count) in list(enumerate(levels))[len(self.contexts) :]:
             context = key >> _U(8)
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(key) else np.zeros(0, np.int64)
             total = np.add.reduceat(count.astype(np.float64), first) if len(key) else np.zeros(0)
@@ -117,24 +124,13 @@ class Ppm:
         return out
 
     @classmethod
-    def from_grams(cls, key: np.ndarray, count: np.ndarray, order: int, escape: float = ESCAPE) -> "Ppm":
-        levels = []
-        for k in range(order + 1):
+    def from_grams(cls, key: np.ndarray, count: np.ndarray, order: int, escape: float = ESCAPE, below: "Ppm | None" = None) -> "Ppm":
+        levels = list(below.levels) if below else []
+        for k in range(len(levels), order + 1):
             short = key & _U((1 << (8 * (k + 1))) - 1)
             u, inverse = np.unique(short, return_inverse=True)
             levels.append((u, np.bincount(inverse, count, len(u)).astype(np.int64)))
-        return cls(levels, escape)
-
-
-_ready: dict[int, Ppm] = {}
-
-
-def _model(number: int, levels: list, escape: float) -> Ppm:
-    """The trie of a broadcast, built once in a worker process."""
-    if number not in _ready:
-        _ready.clear()
-        _ready[number] = Ppm(levels, escape)
-    return _ready[number]
+        return cls(levels, escape, below)
 
 
 def held_out(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
@@ -150,10 +146,10 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def corpus_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(kind, key, n) over the rows (doc_id, held, text) that aren't held out: kind 0 words by hash, 1 byte grams, 2 tokens in all."""
+    """(kind, key, n) over the rows (doc_id, held, text): kind 0 words by hash, 1 byte grams, 2 tokens in all; 3 grams of the held-out rows, and nothing else of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
+        held: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], []), 3: ([], [])}
         tokens = 0
 
         def give(kind: int) -> pa.RecordBatch:
@@ -162,24 +158,27 @@ def corpus_counts(docs: DataFrame, order: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": key.view(np.int64), "n": count})
 
         for batch in batches:
-            for _, _, data, offsets in tv.text_slices(batch.column(0), 4 << 20):
-                low, starts, ends, first = tv.words(data, offsets)
-                stream, begin = byte_stream(low, starts, ends, first)
-                tokens += len(starts) + len(offsets) - 1
-                for kind, keys in ((0, tv.word_hashes(low, starts, ends)), (1, grams(stream, begin, order))):
-                    key, count = np.unique(keys, return_counts=True)
-                    held[kind][0].append(key), held[kind][1].append(count)
-                    if sum(map(len, held[kind][0])) > _HELD:
-                        key, count = _summed(*held[kind])
-                        held[kind] = ([key], [count])
-                        if len(key) > _HELD // 2:
-                            yield give(kind)
-        for kind in (0, 1):
+            for out in (False, True):
+                texts = batch.column(0).filter(pc.equal(batch.column(1), out))
+                for _, _, data, offsets in tv.text_slices(texts, 4 << 20):
+                    low, starts, ends, first = tv.words(data, offsets)
+                    stream, begin = byte_stream(low, starts, ends, first)
+                    tokens += 0 if out else len(starts) + len(offsets) - 1
+                    found = {3 if out else 1: grams(stream, begin, order)} | ({} if out else {0: tv.word_hashes(low, starts, ends)})
+                    for kind, keys in found.items():
+                        key, count = np.unique(keys, return_counts=True)
+                        held[kind][0].append(key), held[kind][1].append(count)
+                        if sum(map(len, held[kind][0])) > _HELD:
+                            key, count = _summed(*held[kind])
+                            held[kind] = ([key], [count])
+                            if len(key) > _HELD // 2:
+                                yield give(kind)
+        for kind in held:
             if held[kind][0]:
                 yield give(kind)
         yield pa.RecordBatch.from_pydict({"kind": pa.array([2], pa.int32()), "key": pa.array([0], pa.int64()), "n": pa.array([tokens], pa.int64())})
 
-    return docs.where("not held").select("text").mapInArrow(run, "kind int, key bigint, n bigint")
+    return docs.select("text", "held").mapInArrow(run, "kind int, key bigint, n bigint")
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -193,21 +192,37 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return 1
 
 
-def train(counted: DataFrame, order: int, max_nodes: int, escape: float) -> Ppm:
-    """The trie from (key, n) of all byte grams of the highest order; at most ``max_nodes`` rows a level come to the driver."""
-    shorter = F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")) for k in range(order + 1)])
-    every = materialize(counted.select(F.explode(shorter).alias("e"), "n").groupBy("e.k", "e.key").agg(F.sum("n").alias("n")), "levels")
-    levels, least = [], 1
-    sizes = {r["k"]: r["count"] for r in every.groupBy("k").count().collect()}
-    for k in range(order + 1):
-        mine = every.where(F.col("k") == k).select("key", "n")
-        if sizes.get(k, 0) > max_nodes:
-            least = max(least, _least_count(mine, max_nodes))
-        found = mine.where(F.col("n") >= least).toArrow()
-        key, count = np.asarray(found.column("key")).astype(np.int64).view(_U), np.asarray(found.column("n")).astype(np.int64)
-        by = np.argsort(key)
-        levels.append((key[by], count[by]))
-    return Ppm(levels, escape)
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at least so many rows, the last one aside."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield joined(held)
+            held = []
+    if held:
+        yield joined(held)
+
+
+def gram_scores(counted: DataFrame, order: int, escape: float) -> DataFrame:
+    """(key, n, score) of every gram of the texts from (kind, key, n): how often it is in them, and its log10 probability."""
+    root = min(ROOT, order)
+    short = counted.where("kind = 1").groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * root)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 256^root rows
+    key, count = np.asarray(short.column("key")).astype(np.int64).view(_U), np.asarray(short.column("n")).astype(np.int64)
+    shared = counted.sparkSession.sparkContext.broadcast((key, count))
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * root)) - 1))
+    learned = F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0))
+    each = counted.where("kind in (1, 3)").groupBy("key").agg(learned.alias("learned"), F.sum("n").alias("n")).select(context.alias("context"), "key", "learned", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below = Ppm.from_grams(*shared.value, root - 1, escape)
+        for batch in gathered(runs(batches, 1)):
+            key, learned = np.asarray(batch.column(1)).view(_U), np.asarray(batch.column(2))
+            known = learned > 0
+            model = Ppm.from_grams(key[known], learned[known], order, escape, below)
+            yield pa.RecordBatch.from_pydict({"key": batch.column(1), "n": batch.column(3), "score": model.log10(key)})
+
+    return each.repartition("context").sortWithinPartitions("context").mapInArrow(run, "key bigint, n bigint, score double")
 
 
 def score(
@@ -237,25 +252,35 @@ def score(
     known_words = words.count()
     tokens = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     distinct = known_words + (1 if ends else 0)
-    model = train(counted.where("kind = 1"), order, max_nodes, escape)
+    scores = materialize(gram_scores(counted, order, escape), "gram-scores")
+    least_gram = _least_count(scores, max_nodes)
+    frequent = scores.where(F.col("n") >= least_gram).select("key", "score").toArrow()
+    gram_key, gram_score = np.asarray(frequent.column("key")).astype(np.int64).view(_U), np.asarray(frequent.column("score")).astype(np.float64)
+    by = np.argsort(gram_key)
+    gram_key, gram_score = gram_key[by], gram_score[by]
+    del frequent
     least = _least_count(words, max_words) if known_words > max_words else 1
     common = words.where(F.col("n") >= least).toArrow()
     key, count = np.asarray(common.column("key")).astype(np.int64), np.asarray(common.column("n")).astype(np.int64)
     by = np.argsort(key.view(_U))
-    rest = least > 1
-    number = int(np.random.default_rng().integers(1 << 62))
-    shared = spark.sparkContext.broadcast((model.levels, model.escape, key.view(_U)[by], count[by], float(ends)))
+    rest, rest_grams = least > 1, least_gram > 1
+    shared = spark.sparkContext.broadcast((gram_key, gram_score, key.view(_U)[by], count[by], float(ends)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, weight, common, counts, ends = shared.value
-        ppm = _model(number, levels, weight)
+        gram_key, gram_score, common, counts, ends = shared.value
         logs = np.log10(counts + 1.0)
         for batch in batches:
             for lo, hi, data, offsets in tv.text_slices(batch.column(2), 4 << 20):
                 low, starts, last, first = tv.words(data, offsets)
                 stream, begin = byte_stream(low, starts, last, first)
                 gram, inverse = np.unique(grams(stream, begin, order), return_inverse=True)
-                total = np.concatenate([[0.0], np.cumsum(ppm.log10(gram)[inverse])])
+                at = np.minimum(np.searchsorted(gram_key, gram), max(0, len(gram_key) - 1))
+                scored = gram_key[at] == gram if len(gram_key) else np.zeros(len(gram), bool)
+                mine = np.zeros(len(gram))
+                mine[scored] = gram_score[at[scored]]
+                total = np.concatenate([[0.0], np.cumsum(mine[inverse])])
+                left = ~scored[inverse]
+                others = gram.view(np.int64)[inverse] if rest_grams else None
                 word, where = np.unique(tv.word_hashes(low, starts, last), return_inverse=True)
                 at = np.minimum(np.searchsorted(common, word), max(0, len(common) - 1))
                 hit = common[at] == word if len(common) else np.zeros(len(word), bool)
@@ -275,12 +300,18 @@ def score(
                         "logs": summed[first[1:]] - summed[first[:-1]] + np.log10(ends + 1),
                         "score": total[begin[1:]] - total[begin[:-1]],
                         "rare": pa.array([unseen[a:b][missed[a:b]] if rest else None for a, b in zip(first[:-1], first[1:], strict=True)], pa.list_(pa.int64())),
+                        "grams": pa.array([others[a:b][left[a:b]] if rest_grams else None for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.list_(pa.int64())),
                     }
                 )
 
-    scored = source.select("doc_id", "held", "text").mapInArrow(run, f"doc_id {kind}, held boolean, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>")
-    if rest:
+    scored = source.select("doc_id", "held", "text").mapInArrow(run, f"doc_id {kind}, held boolean, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>, grams array<bigint>")
+    if rest or rest_grams:
         scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    if rest_grams:
+        asked = scored.select("row", F.explode("grams").alias("key"))
+        given = asked.join(scores.where(F.col("n") < least_gram).select("key", F.col("score").alias("_g")), "key").groupBy("row").agg(F.sum("_g").alias("_g"))
+        scored = scored.drop("grams").join(given, "row", "left").withColumn("score", F.col("score") + F.coalesce("_g", F.lit(0.0)))
+    if rest:
         asked = scored.select("row", F.explode("rare").alias("key"))
         given = asked.join(words.where(F.col("n") < least), "key").groupBy("row").agg(F.count("*").alias("_k"), F.sum(F.log10(F.col("n") + 1.0)).alias("_s"))
         scored = scored.drop("rare").join(given, "row", "left")
