@@ -521,6 +521,19 @@ def brute_ppm(train, text, order, escape):
     return total
 
 
+def judged_urls(spark, urls):
+    """(url, verdict) of urls whose labels say that /spam/ is bad; every second page has one."""
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, int("/spam" in u)) for i, u in enumerate(urls) if i % 2], "page_id bigint, bad int")
+    return [(urls[r.page_id], r.verdict) for r in url_filter.filter_urls(pages, labels).collect()]
+
+
+def test_urls_of_deep_paths(spark):
+    urls = [f"http://h.net/a/b/c/d/e/{s}/{i}" for s in ("spam", "news") for i in range(60)]
+    for url, verdict in judged_urls(spark, urls):
+        assert verdict == ("block" if "/spam" in url else "allow"), url
+
+
 @pytest.mark.parametrize("max_words", [1 << 18, 50])
 def test_lm(spark, docs, empty, max_words):
     all_texts = texts()

@@ -2,8 +2,9 @@
 
 The tree of a host has a node for each template of leading path segments.
 
-* Variable segments become wildcards: by shape (``{n}`` digits, ``{x}`` long or mixed tokens), and any segment of a
-  node with more than ``max_children`` different children becomes ``*``.
+* Variable segments become wildcards: by shape (``{n}`` digits, ``{x}`` long or mixed tokens), and of a node with more
+  than ``max_children`` different children all become ``*``.
+* The tree is as deep as the labelled paths: levels are added until no template with labels has further segments.
 * Branches that the labels don't tell apart are merged: a child whose share of bad labels lies within ``z`` standard
   errors of its parent's takes the parent's estimate, so siblings that are alike share one.
 * A template's purity is its share of bad labels, drawn towards its parent's by ``smoothing`` pseudo-labels (the root
@@ -14,13 +15,11 @@ Everything is aggregated by template before anything is joined: the labels of a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of the tree; deeper segments don't make templates of their own.
-DEPTH = 4
+from ._shared import materialize
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: (verdict, rule); a rule is a host and the start of a path.
@@ -58,27 +57,39 @@ def segment_shape(segment: Column) -> Column:
 
 
 def template_tree(pages: DataFrame, *, max_children: int = 50, z: float = 1.96, smoothing: float = 10.0) -> DataFrame:
-    """(host, s1..sDEPTH, bad_share) from rows (host, s1..sDEPTH, bad); bad is 1, 0 or null, a missing segment is ''."""
-    names = [f"s{i + 1}" for i in range(DEPTH)]
-    tree = pages.groupBy("host", *names).agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    tree = tree.select("host", "n", "k", *names, *[F.col(s).alias(f"g{i + 1}") for i, s in enumerate(names)])
-    for level in range(DEPTH):
-        above = [f"g{i + 1}" for i in range(level)]
-        mine = f"g{level + 1}"
-        wide = tree.groupBy("host", *above).agg(F.count_distinct(mine).alias("_c")).where(F.col("_c") > max_children)
-        tree = tree.join(wide, ["host", *above], "left").withColumn(mine, F.when(F.col("_c").isNotNull() & (F.col(mine) != ""), F.lit("*")).otherwise(F.col(mine))).drop("_c")
-
+    """(host, template, bad_share) from rows (host, template, bad); bad is 1, 0 or null, a template segments with / between."""
+    tree = materialize(pages.groupBy("host", "template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k")), "templates")
     total = tree.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("p_root"))
-    node = tree.groupBy("host").agg(F.sum("n").alias("_n"), F.sum("k").alias("_k")).crossJoin(F.broadcast(total))  # the total is one row
-    node = node.withColumn("p", (F.col("_k") + smoothing * F.coalesce("p_root", F.lit(0.5))) / (F.col("_n") + smoothing)).select("host", "p")
-    for level in range(DEPTH):
-        above = [f"g{i + 1}" for i in range(level)]
-        child = tree.groupBy("host", *above, f"g{level + 1}").agg(F.sum("n").alias("_n"), F.sum("k").alias("_k")).join(node, ["host", *above])
+    root = tree.groupBy("host").agg(F.sum("n").alias("_n"), F.sum("k").alias("_k")).crossJoin(F.broadcast(total))  # the total is one row
+    root = root.withColumn("p", (F.col("_k") + smoothing * F.coalesce("p_root", F.lit(0.5))) / (F.col("_n") + smoothing)).select("host", "p", F.col("_n").alias("labels"))
+    columns = ["host", "template", "n", "k", "node", "p", "labels", "ended"]
+    live = materialize(tree.join(root, "host").withColumns({"node": F.lit(""), "ended": F.lit(False)}).select(*columns), "tree")
+    done, level = [], 0
+    while True:
+        over = F.col("ended") | (F.col("labels") == 0)  # nothing below tells its children apart
+        done.append(live.where(over).select("host", "template", F.col("p").alias("bad_share")))
+        rest = live.where(~over)
+        if rest.isEmpty():
+            break
+        segments = F.split("template", "/")
+        rest = rest.withColumn("segment", F.coalesce(F.get(segments, F.lit(level)), F.lit(""))).withColumn("ended", F.size(segments) <= level)
+        child = rest.groupBy("host", "node", "segment").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.first("p").alias("p"))
+        wide = child.groupBy("host", "node").agg(F.count("*").alias("_c")).where(F.col("_c") > max_children)
+        kept = F.col("_c").isNull() | (F.col("segment") == "")
+        child = child.join(wide, ["host", "node"], "left").withColumn("g", F.when(kept, F.col("segment")).otherwise(F.lit("*")))
+        each = child.groupBy("host", "node", "g").agg(F.sum("n").alias("_n"), F.sum("k").alias("_k"), F.first("p").alias("p"))
         spread = F.sqrt(F.col("p") * (1 - F.col("p")) / F.greatest(F.col("_n"), F.lit(1)))
         apart = (F.col("_n") > 0) & (F.abs(F.col("_k") / F.greatest(F.col("_n"), F.lit(1)) - F.col("p")) > z * spread)
-        own = (F.col("_k") + smoothing * F.col("p")) / (F.col("_n") + smoothing)
-        node = child.withColumn("p", F.when(apart, own).otherwise(F.col("p"))).select("host", *above, f"g{level + 1}", "p")
-    return tree.join(node, ["host", *[f"g{i + 1}" for i in range(DEPTH)]]).select("host", *names, F.col("p").alias("bad_share"))
+        drawn = (F.col("_k") + smoothing * F.col("p")) / (F.col("_n") + smoothing)
+        each = each.select("host", "node", "g", F.when(apart, drawn).otherwise(F.col("p")).alias("p"), F.col("_n").alias("labels"))
+        step = child.select("host", "node", "segment", "g").join(each, ["host", "node", "g"])
+        live = rest.drop("p", "labels").join(step, ["host", "node", "segment"]).withColumn("node", F.concat("node", F.lit("/"), "g"))
+        live = materialize(live.select(*columns), "tree")
+        level += 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
 
 
 def filter_urls(
@@ -101,12 +112,11 @@ def filter_urls(
     ``allow`` is the verdict of the method for lack of evidence: blocking needs ``reject_at`` to be exceeded, or met with labels.
     """
     rows = pages.select(pages[id_col].alias("page_id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    rows = rows.withColumns({f"s{i + 1}": segment_shape(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))) for i in range(DEPTH)})
+    parts = F.split(F.regexp_replace(F.regexp_replace("path", "^/", ""), "/+$", ""), "/")
+    rows = rows.withColumn("template", F.array_join(F.transform(parts, segment_shape), "/"))
     known = labels.where(labels[bad_col].isNotNull()).groupBy(labels[label_id].alias("page_id")).agg(F.max(labels[bad_col]).cast("int").alias("bad"))
-    tree = template_tree(rows.join(known, "page_id", "left").select("host", *[f"s{i + 1}" for i in range(DEPTH)], "bad"), max_children=max_children)
-    keys = ["host", *[f"s{i + 1}" for i in range(DEPTH)]]
-    on = reduce(lambda a, b: a & b, [F.col(f"r.{k}") == F.col(f"t.{k}") for k in keys])
+    tree = template_tree(rows.join(known, "page_id", "left").select("host", "template", "bad"), max_children=max_children)
+    on = (F.col("r.host") == F.col("t.host")) & (F.col("r.template") == F.col("t.template"))
     judged = rows.alias("r").join(tree.alias("t"), on, "left").select("r.page_id", "r.host", "r.path", "t.bad_share")
     rule = fitting_rule(F.col("host"), F.col("path"), rules)
     own = F.when((F.col("bad_share") >= reject_at) & (F.col("bad_share") != 0.5), F.lit("block")).otherwise(F.lit("allow"))
