@@ -528,6 +528,12 @@ def judged_urls(spark, urls):
     return [(urls[r.page_id], r.verdict) for r in url_filter.filter_urls(pages, labels).collect()]
 
 
+def test_urls_of_many_sections(spark):
+    urls = [f"http://h.net/sec-{a}{b}/{i}" for a in "abcdefgh" for b in "abcdefgh" for i in range(10)] + [f"http://h.net/spam/{i}" for i in range(100)]
+    for url, verdict in judged_urls(spark, urls):
+        assert verdict == ("block" if "/spam" in url else "allow"), url
+
+
 def test_urls_of_deep_paths(spark):
     urls = [f"http://h.net/a/b/c/d/e/{s}/{i}" for s in ("spam", "news") for i in range(60)]
     for url, verdict in judged_urls(spark, urls):

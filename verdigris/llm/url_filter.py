@@ -3,7 +3,7 @@
 The tree of a host has a node for each template of leading path segments.
 
 * Variable segments become wildcards: by shape (``{n}`` digits, ``{x}`` long or mixed tokens), and of a node with more
-  than ``max_children`` different children all become ``*``.
+  than ``max_children`` different children those become ``*`` whose labels are none or don't differ from the node's.
 * The tree is as deep as the labelled paths: levels are added until no template with labels has further segments.
 * Branches that the labels don't tell apart are merged: a child whose share of bad labels lies within ``z`` standard
   errors of its parent's takes the parent's estimate, so siblings that are alike share one.
@@ -74,8 +74,9 @@ def template_tree(pages: DataFrame, *, max_children: int = 50, z: float = 1.96,
         segments = F.split("template", "/")
         rest = rest.withColumn("segment", F.coalesce(F.get(segments, F.lit(level)), F.lit(""))).withColumn("ended", F.size(segments) <= level)
         child = rest.groupBy("host", "node", "segment").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.first("p").alias("p"))
-        wide = child.groupBy("host", "node").agg(F.count("*").alias("_c")).where(F.col("_c") > max_children)
-        kept = F.col("_c").isNull() | (F.col("segment") == "")
+        wide = child.groupBy("host", "node").agg(F.count("*").alias("_c"), ((F.sum("k") + 1) / (F.sum("n") + 2)).alias("_p")).where(F.col("_c") > max_children)
+        own = F.abs(F.col("k") - F.col("n") * F.col("_p")) - 0.5 > z * F.sqrt(F.col("n") * F.col("_p") * (1 - F.col("_p")))
+        kept = F.col("_c").isNull() | (F.col("segment") == "") | own & (F.col("n") > 0)
         child = child.join(wide, ["host", "node"], "left").withColumn("g", F.when(kept, F.col("segment")).otherwise(F.lit("*")))
         each = child.groupBy("host", "node", "g").agg(F.sum("n").alias("_n"), F.sum("k").alias("_k"), F.first("p").alias("p"))
         spread = F.sqrt(F.col("p") * (1 - F.col("p")) / F.greatest(F.col("_n"), F.lit(1)))
