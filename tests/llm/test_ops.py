@@ -402,6 +402,25 @@ def test_html(html, text):
     assert html_text.render(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b", "a x=1 b"),
+        ("<svg><title>no</title><rect/><text>seen</text><g><text>too</text></g></svg> b", "seen too b"),
+        ("<select><option>a<option selected>b<option>c</select>", "b"),
+        ("<select><option disabled>a<option>b</select>", "b"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("<dialog open>seen</dialog><dialog>not</dialog>", "seen"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td><b><i><u><s><em><q><b>x<td>y<tr><td>z<td>w</table>", "x  y\nz  w"),
+        ("<table><tr><td><ul><li>x<td>y</table>", "- x  y"),
+        ("<p><b><i><u><s><em><q><b><i><u>x<div>y</div>", "x\n\ny"),
+    ],
+)
+def test_html_of_all_visible_text(html, text):
+    assert html_text.render(html) == text
+
+
 def test_html_of_deep_and_odd_pages(spark):
     assert html_text.render("<div>" * 5000 + "x") == "x"
     assert "x" in html_text.render("<table><tr><td>" * 60 + "x")

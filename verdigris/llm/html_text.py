@@ -3,10 +3,10 @@
 The tokenizer is one regular expression, never a backtracking one; the builder keeps a stack of open elements, closes
 what HTML lets authors leave open (p, li, dt, dd, option, tr, td, th, thead, tbody, tfoot), drops end tags that match
 nothing, and closes everything at the end. What isn't shown isn't rendered: head, scripts, styles, templates, comments,
-elements with ``hidden``, ``aria-hidden="true"`` or an inline ``display:none`` or ``visibility:hidden``.
+objects and media, dialogs that aren't open, drawings but for their text, elements with ``hidden``, ``aria-hidden="true"`` or an inline ``display:none`` or ``visibility:hidden``.
 Blocks begin lines; paragraphs, headings, lists and tables are set off by a blank line; list items get a bullet or
-their number, indented by their depth; the cells of a table are padded to the width of their column; ``pre`` keeps its
-white space. All other white space runs are one space.
+their number, indented by their depth; the cells of a table are padded to the width of their column, a cell over several
+rows stands in its first; a select shows its chosen option, a list box all; ``pre`` keeps its white space. All other white space runs are one space.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,27 +22,27 @@ from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Not rendered, with all they hold.
-UNSEEN = frozenset("head script style template noscript title iframe object svg math canvas audio video select datalist dialog meta link".split())
+UNSEEN = frozenset("head script style template noscript title iframe object canvas audio video datalist meta link annotation annotation-xml".split())
 RAW = frozenset(["script", "style", "textarea", "title", "iframe", "noscript", "xmp"])
 BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol optgroup option section summary tbody thead tfoot tr ul".split())
 #: Blocks with a blank line around them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote hr figure".split())
-#: An open element (key) is closed when one of these begins, searching up to an element of SCOPE.
-_CLOSERS = {
+_PARTS = frozenset(["tbody", "thead", "tfoot"])
+#: What a tag closes when it begins, searching up to an element of SCOPE.
+_CLOSES = {
     "li": frozenset(["li"]),
     "dt": frozenset(["dt", "dd"]),
     "dd": frozenset(["dt", "dd"]),
-    "option": frozenset(["option", "optgroup"]),
-    "td": frozenset(["td", "th", "tr", "tbody", "thead", "tfoot"]),
-    "th": frozenset(["td", "th", "tr", "tbody", "thead", "tfoot"]),
-    "tr": frozenset(["tr", "tbody", "thead", "tfoot"]),
-    "tbody": frozenset(["tbody", "thead", "tfoot"]),
-    "thead": frozenset(["tbody", "thead", "tfoot"]),
-    "tfoot": frozenset(["tbody", "thead", "tfoot"]),
+    "option": frozenset(["option"]),
+    "optgroup": frozenset(["option"]),
+    "td": frozenset(["td", "th"]),
+    "th": frozenset(["td", "th"]),
+    "tr": frozenset(["td", "th", "tr"]),
+    **{part: _PARTS | {"td", "th", "tr"} for part in _PARTS},
 }
 _P_CLOSERS = (BLOCK | SPACED) - frozenset(["body", "html", "li", "dd", "dt", "tr", "tbody", "thead", "tfoot", "option", "optgroup"])
-_SCOPE = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "option": frozenset(["select"]), "p": frozenset(["table", "td", "th", "button", "li"])}
-_TABLE = frozenset(["table"])
+_SCOPE = {"li": frozenset(["ul", "ol", "menu", "dl", "table"]), "dt": frozenset(["dl", "ul", "ol", "table"]), "dd": frozenset(["dl", "ul", "ol", "table"]), "option": frozenset(["select"]), "optgroup": frozenset(["select"]), "p": frozenset(["table", "td", "th", "button", "li"])}
+_P, _TABLE = frozenset(["p"]), frozenset(["table"])
 _HEAD_ONLY = frozenset("title meta link style script base noscript template".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -64,7 +65,7 @@ def attributes_of(text: str) -> dict[str, str]:
 
 
 def is_hidden(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in UNSEEN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+    if tag in UNSEEN or (tag == "dialog" and "open" not in attributes) or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
     return bool(_HIDES.search(attributes.get("style", ""))) or (tag == "input" and attributes.get("type", "").lower() == "hidden")
 
@@ -78,13 +79,25 @@ def parse(source: str) -> Node:
         if value:
             stack[-1].children.append(html.unescape(value) if "&" in value else value)
 
-    def close(tag: str, scope: frozenset[str] = frozenset()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                del stack[i:]
-                return
-            if stack[i].tag in scope:
-                return
+    places: dict[str, list[int]] = {}  # where in the stack the elements of each tag are
+
+    def last(tags: frozenset[str]) -> int:
+        return max((p[-1] for t in tags if (p := places.get(t))), default=0)
+
+    def cut(i: int) -> None:
+        for node in stack[i:]:
+            places[node.tag].pop()
+        del stack[i:]
+
+    def close(tags: frozenset[str], scope: frozenset[str] = frozenset(), every: bool = False) -> None:
+        """Ends the last open element of these tags within the scope, or all of them."""
+        floor = last(scope - tags)
+        if every:
+            found = min((p[bisect_right(p, floor)] for t in tags if (p := places.get(t)) and p[-1] > floor), default=0)
+        else:
+            found = last(tags)
+        if found > floor:
+            cut(found)
 
     at, end = 0, len(source)
     while at < end:
@@ -104,17 +117,14 @@ def parse(source: str) -> Node:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
             elif tag not in VOID:
-                close(tag, _TABLE if tag not in ("table", "body", "html") else frozenset())
+                close(frozenset([tag]), _TABLE if tag not in ("table", "body", "html") else frozenset())
             continue
         if stack[-1].tag == "head" and tag not in _HEAD_ONLY:
-            stack.pop()  # the body is implied
-        if tag in _P_CLOSERS and any(n.tag == "p" for n in stack[-8:]):
-            close("p", _SCOPE["p"])
-        for open_tag in reversed([n.tag for n in stack[-6:]]):
-            if tag in _CLOSERS.get(open_tag, ()):
-                close(open_tag, _SCOPE.get(open_tag, _TABLE))
-            elif open_tag in ("table", "ul", "ol", "dl"):
-                break
+            cut(len(stack) - 1)  # the body is implied
+        if tag in _P_CLOSERS:
+            close(_P, _SCOPE["p"])
+        if tag in _CLOSES:
+            close(_CLOSES[tag], _SCOPE.get(tag, _TABLE), every=True)
         given = found[3]
         attributes = attributes_of(given) if given and not given.isspace() else {}
         node = Node(tag, attributes, is_hidden(tag, attributes))
@@ -128,6 +138,7 @@ def parse(source: str) -> Node:
                 node.children.append(html.unescape(inside) if tag != "xmp" else inside)
             at = finish.end() if finish else end
             continue
+        places.setdefault(tag, []).append(len(stack))
         stack.append(node)
     return root
 
@@ -191,13 +202,43 @@ def width(text: str) -> int:
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _within(node: Node, tags: frozenset[str]) -> list[Node]:
+    """The topmost visible elements of these tags in an element, in order."""
+    out, work = [], list(reversed(node.children))
+    while work:
+        item = work.pop()
+        if isinstance(item, str) or item.hidden or item.tag in ("defs", "symbol"):
+            continue
+        if item.tag in tags:
+            out.append(item)
+        else:
+            work.extend(reversed(item.children))
+    return out
+
+
+def _shown_options(node: Node) -> list[Node]:
+    """The options of a select that are seen: the chosen one, of a list box all."""
+    options = _within(node, frozenset(["option"]))
+    size = node.attributes.get("size", "")
+    if "multiple" in node.attributes or (size.isdecimal() and size.strip("0") not in ("", "1")):
+        return options
+    chosen = [o for o in options if "selected" in o.attributes] or [o for o in options if "disabled" not in o.attributes][:1]
+    return chosen[-1:]
+
+
+def _rows(node: Node, part: Node | None = None) -> Iterator[tuple[Node, Node]]:
+    """(part of the table, row) of all visible rows."""
     for child in node.children:
         if isinstance(child, Node) and not child.hidden:
             if child.tag == "tr":
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+                yield part or node, child
+            elif child.tag in _PARTS:
+                yield from _rows(child, child)
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attributes.get(name, "1").strip()
+    return min(most, int(value)) if value.isdecimal() and len(value) < 6 else 1
 
 
 def _table(node: Node, out: _Out, depth: int) -> None:
@@ -207,13 +248,25 @@ def _table(node: Node, out: _Out, depth: int) -> None:
             _render(child.children, out, depth)
             out.ask(1)
     rows = []
-    for row in _rows(node):
-        cells = []
+    taken: dict[int, int] = {}  # columns that cells of rows above still take, and for how many rows
+    inside = None
+    for part, row in _rows(node):
+        if part is not inside:
+            inside, taken = part, {}
+        cells, at, new = [], 0, {}
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th") and not cell.hidden:
                 inner = _Out()
                 _render(cell.children, inner, depth + 1)
-                cells.append((inner.text().split("\n"), max(1, min(50, int(s)) if (s := cell.attributes.get("colspan", "1")).isdecimal() and len(s) < 4 else 1)))
+                span = max(1, _span(cell, "colspan", 50))
+                while at in taken:
+                    at += 1
+                cells.append((inner.text().split("\n"), at, span))
+                down = _span(cell, "rowspan", 65534) or 65534  # 0 is the rest of the part
+                if down > 1:
+                    new.update((i, down) for i in range(at, at + span))
+                at += span
+        taken = {i: n - 1 for i, n in (taken | new).items() if n > 1}
         if cells:
             rows.append(cells)
     for other in node.children:  # what authors put between rows is shown too
@@ -223,22 +276,20 @@ def _table(node: Node, out: _Out, depth: int) -> None:
             _render([other], out, depth)
     columns: list[int] = []
     for cells in rows:
-        at = 0
-        for lines, span in cells:
+        for lines, at, span in cells:
             columns.extend([0] * (at + span - len(columns)))
             if span == 1:
                 columns[at] = max(columns[at], *map(width, lines))
-            at += span
     out.ask(1)
     for cells in rows:
-        for i in range(max(len(lines) for lines, _ in cells)):
-            line, at, place = "", 0, 0
-            for lines, span in cells:
+        for i in range(max(len(lines) for lines, _, _ in cells)):
+            line, reached, place = "", 0, 0
+            for lines, at, span in cells:
+                place += sum(columns[reached:at]) + 2 * (at - reached)
+                reached = at
                 part = lines[i] if i < len(lines) else ""
                 if part:
                     line += " " * (place - width(line)) + part
-                place += sum(columns[at : at + span]) + 2 * span
-                at += span
             out.ask(1)
             if line.strip():
                 out.begin()
@@ -276,6 +327,19 @@ def _render(children: list, out: _Out, depth: int, listing: tuple[str, list[int]
         if tag in ("input", "button") and item.attributes.get("value", "").strip() and tag == "input":
             out.inline(item.attributes["value"])
             continue
+        if tag == "select":
+            options = _shown_options(item)
+            for option in reversed(options):
+                label = option.attributes.get("label", "").strip()
+                shown = Node("option" if len(options) > 1 else "span")
+                shown.children = [label] if label else option.children
+                work.append((shown, depth, listing, pre))
+            continue
+        if tag == "svg":
+            for drawn in reversed(_within(item, frozenset(["text", "foreignobject"]))):
+                work.append((drawn, depth, listing, pre))
+                work.append((" ", depth, listing, pre))
+            continue
         if tag == "table" and depth < 20:
             out.ask(2)
             _table(item, out, depth)
