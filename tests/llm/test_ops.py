@@ -192,6 +192,30 @@ def test_bpe_of_odd_texts(name):
         assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_buffers_of_many_texts(name, monkeypatch):
+    """Chunks that texts of a buffer share, white space alone, marks of our own, caches that turn over, joins that must be repaired."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(name))
+    monkeypatch.setattr(bpe, "COARSE_MASK", 1)
+    library, codec = Tokenizer.from_file(path), bpe.ChunkCodec(path, fine_entries=40, coarse_entries=6)
+    rng = random.Random(4)
+    shared = prose(40, rng)
+    many = ["", " ", " \n\t ", "a\x01b \x01 c", "</w> x</w>y", "İ ﬁ e\u0301 \u0301", *(f"{prose(rng.randrange(9), rng)}  {shared}\n{'é!? ' * rng.randrange(4)}" for _ in range(60))]
+    for _ in range(2):
+        raw = [t.encode() for t in many]
+        got = codec.encode_slice(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        for t, (ids, tokens, code) in zip(many, got, strict=True):
+            want = library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(code, np.int32).tolist() == want, t
+            assert ids.decode() == " ".join(map(str, want))
+            if codec.plain_decoder:
+                assert tokens.decode() == library.decode(want, skip_special_tokens=False)
+        rng.shuffle(many)
+
+
 def shingles(text):
     w = WORD.findall(lowered(text))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

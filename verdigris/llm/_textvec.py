@@ -20,7 +20,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A pseudo-random 64-bit value for each byte.
-_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
 
 
@@ -77,7 +77,7 @@ def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     up, down = powers(len(low) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(low) + 1, U64)
-        np.cumsum(_BYTE[low] * up[: len(low)], out=total[1:])
+        np.cumsum(BYTE[low] * up[: len(low)], out=total[1:])
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
