@@ -32,6 +32,7 @@ DICTIONARY_BYTES = 64 << 10
 #: Bytes of records from which a dictionary is built, and after how many bytes of records an archive ends.
 SAMPLE_BYTES, ARCHIVE_BYTES = 1 << 20, 64 << 20
 LEVEL = 3
+READ_TASKS = 20_000
 MIN_REVISIT = 100
 
 
@@ -59,18 +60,18 @@ class Record:
 
 
 def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES, sample_bytes: int = SAMPLE_BYTES) -> bytes:
-    """A dictionary from an even sample of the records; empty if they are too few or too short to build one from."""
+    """A dictionary from an even sample of the records; of few or short ones their own bytes, which Zstandard takes as they are."""
     import zstandard
 
     total = sum(map(len, records))
     step = max(1, total // sample_bytes)
     samples = [r[: 64 << 10] for r in records[::step]]
-    if len(samples) < 8 or sum(map(len, samples)) < 8 * 1024:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), samples, k=256, d=8, steps=1).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    if len(samples) >= 8 and sum(map(len, samples)) >= 8 * 1024:
+        try:
+            return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), samples, k=256, d=8, steps=1).as_bytes()
+        except zstandard.ZstdError:  # samples too much alike to train on
+            pass
+    return b"".join(samples)[-size:]
 
 
 class ArchiveWriter:
@@ -91,7 +92,7 @@ class ArchiveWriter:
         built = build_dictionary(self.records)
         out = io.BytesIO()
         out.write(struct.pack("<II", SKIPPABLE, len(built)) + built)
-        engine = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(built, dict_type=zstandard.DICT_TYPE_FULLDICT) if built else None, write_checksum=True, write_content_size=True)
+        engine = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(built), write_checksum=True, write_content_size=True)
         for raw in self.records:
             out.write(engine.compress(raw))
         return out.getvalue()
@@ -105,7 +106,7 @@ def read_archive(raw: bytes) -> Iterator[Record]:
     if magic != SKIPPABLE:
         raise ValueError("an archive does not begin with a dictionary frame")
     built = raw[8 : 8 + size]
-    engine = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(built, dict_type=zstandard.DICT_TYPE_FULLDICT) if built else None)
+    engine = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(built))
     rest = memoryview(raw)[8 + size :]
     while len(rest):
         one = engine.decompressobj()
@@ -156,7 +157,8 @@ def _write_rows(rows: Iterable[dict], folder: str, limit: int) -> Iterator[dict]
 def write_warc(pages: DataFrame, *, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes one record per row and returns (archive, records, bytes), one row per archive.
 
-    Null html is an empty payload. Of equal payloads of ``min_revisit`` bytes or more the row with the smallest id is
+    Null html is an empty payload; a payload is one record however long it is, and a task holds one archive and one
+    payload at a time. Columns other than id, url and html are ignored, whatever their names. Of equal payloads of ``min_revisit`` bytes or more the row with the smallest id is
     the response, one of them if the id is repeated; rows with a null id come after all others. An empty table writes no archive.
     """
     spark = pages.sparkSession
@@ -201,6 +203,7 @@ def read_warc(archives: DataFrame, *, id_type: str = "bigint") -> DataFrame:
 
     The digest of a response is computed from the payload that was read; one that isn't what its header says is an error.
     A revisit has no payload of its own: its size and digest are those of the payload it refers to, from its headers.
+    Archives are read side by side, at most READ_TASKS tasks of them; no archives give no rows.
     """
     schema = pa.schema([("page_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
 
@@ -225,6 +228,7 @@ def read_warc(archives: DataFrame, *, id_type: str = "bigint") -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    spread = archives.select("archive").repartition(F.col("archive"))
+    names = archives.select("archive")
+    spread = names.repartition(max(1, min(names.count(), READ_TASKS)))  # a number of its own, so that no small table ends up in one task
     out = spread.mapInArrow(run, "page_id string, record_type string, url string, payload_bytes bigint, payload_digest string, refers_to string, payload binary")
     return out.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
