@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -445,6 +446,40 @@ def test_html_of_all_visible_text(html, text):
     assert html_text.render(html) == text
 
 
+def naive_text(source):
+    """The words that a plain recursive walk over the tree finds visible, in the order of the page; tables and selects aside."""
+    out = []
+
+    def walk(node, veiled):
+        for child in node.children:
+            if isinstance(child, str):
+                out.extend([] if veiled else child.split())
+            elif not child.hidden:
+                style = child.attributes.get("style", "")
+                walk(child, False if "visible" in style else True if "visibility" in style else veiled)
+
+    walk(html_text.parse(source), False)
+    return out
+
+
+def test_html_words_of_random_pages():
+    rng = random.Random(3)
+    pieces = ["<div>", "</div>", "<p>", "</p>", "<b>", "</b>", "<span style='visibility:hidden'>", "<span style='visibility:visible'>", "</span>", "<i hidden>", "</i>", "<blockquote>", "</blockquote>", "<table>", "<tr>", "<td>", "<td rowspan=2>", "<td colspan=3>", "</table>", "<script>x</script>", "<!-- c -->", "<br>", "<", "<a title='>'>", "</a>"]
+    for _ in range(400):
+        source = " ".join(rng.choice(pieces) if rng.random() < 0.5 else f"w{i}" for i in range(rng.randrange(60)))
+        got = html_text.render(source).split()
+        assert sorted(got) == sorted(naive_text(source)), source
+        if "<table>" not in source:
+            assert got == naive_text(source), source
+
+
+@pytest.mark.parametrize("piece", ["<b ", "<b x", "<a '", "<a \"'", "</script ", "<li>", "<table><tr><td>", "<ul><li>x", "<tr><td rowspan=9 colspan=1000>x", "<p>", "<!--", "<div></x>"])
+def test_html_takes_time_as_pages_grow(piece):
+    began = time.process_time()
+    text = html_text.render("<table>" * ("rowspan" in piece) + piece * (400_000 // len(piece)) + "\">")
+    assert time.process_time() - began < 20 and len(text) < 100 * 400_000
+
+
 def test_html_of_deep_and_odd_pages(spark):
     assert html_text.render("<div>" * 5000 + "x") == "x"
     assert "x" in html_text.render("<table><tr><td>" * 60 + "x")
@@ -485,6 +520,24 @@ def test_warc(spark, tmp_path):
     assert warc.write_warc(pages.limit(0), folder=f"file://{tmp_path}/e").count() == 0
 
 
+def test_every_archive_has_a_dictionary(spark):
+    for n in (1, 2, 30):
+        writer = warc.ArchiveWriter()
+        for i in range(n):
+            writer.add(warc.Record("response", {"WARC-Record-ID": f"<urn:{i}>"}, b"<p>the same page again</p>" * 3))
+        raw = writer.to_bytes()
+        assert int.from_bytes(raw[4:8], "little") > 100
+        assert [r.payload for r in warc.read_archive(raw)] == [b"<p>the same page again</p>" * 3] * n
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://x/").alias("url"), F.repeat(F.col("id").cast("string"), 200).alias("html"))
+    written = warc.write_warc(rows.repartition(4), folder=str(tmp_path / "w"), archive_bytes=1000)
+    back = warc.read_warc(written)
+    assert written.count() > 4 and back.rdd.getNumPartitions() == written.count()
+    assert back.count() == 40 and {r.payload_bytes for r in back.collect()} == {200, 400}
+
+
 def test_warc_dictionary_helps_and_damage_is_found():
     writer = warc.ArchiveWriter()
     for i in range(300):
