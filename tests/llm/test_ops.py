@@ -624,6 +624,94 @@ def judged_urls(spark, urls):
     return [(urls[r.page_id], r.verdict) for r in url_filter.filter_urls(pages, labels).collect()]
 
 
+def brute_tree(rows, max_children=50, z=1.96, smoothing=10.0):
+    """{(host, template): share} by plain recursion over rows (host, template, bad)."""
+    out = {}
+    labelled = [b for _, _, b in rows if b is not None]
+    if not labelled:
+        return {(h, t): None for h, t, _ in rows}
+    everywhere = (sum(labelled) + 1) / (len(labelled) + 2)
+
+    def counts(some):
+        known = [b for _, b in some if b is not None]
+        return len(known), sum(known)
+
+    def walk(host, some, depth, p):
+        """some: (template, bad) below one node"""
+        n, k = counts(some)
+        for t, _ in some:
+            out[host, t] = p
+        open_ones = [(t, b) for t, b in some if len(t.split("/")) >= depth] if 0 < k < n else []
+        children = {}
+        for t, b in open_ones:
+            segments = t.split("/")
+            children.setdefault(segments[depth] if depth < len(segments) else "", []).append((t, b))
+        total = [x for c in children.values() for x in c]
+        share = (counts(total)[1] + 1) / (counts(total)[0] + 2)
+
+        def own(c):
+            n, k = counts(c)
+            return n > 0 and abs(k - n * share) - 0.5 > z * math.sqrt(n * share * (1 - share))
+
+        grouped = {}
+        for name, c in children.items():
+            grouped.setdefault(name if len(children) <= max_children or name == "" or own(c) else "*", []).extend(c)
+        sides = {-1: [], 1: []}
+        for name, c in grouped.items():
+            n, k = counts(c)
+            if n and abs(k / n - p) > z * math.sqrt(p * (1 - p) / n):
+                sides[1 if k / n > p else -1].append((k / n, name, n, k))
+        estimate = {}
+        for side in sides.values():
+            branches = []
+            for own_share, name, n, k in sorted(side):
+                if branches:
+                    _, n0, k0 = branches[-1][-1]
+                    pooled = (k + k0) / (n + n0)
+                if branches and abs(k / n - k0 / n0) <= z * math.sqrt(pooled * (1 - pooled) * (1 / n + 1 / n0)):
+                    branches[-1].append((name, n, k))
+                else:
+                    branches.append([(name, n, k)])
+            for branch in branches:
+                n, k = sum(x[1] for x in branch), sum(x[2] for x in branch)
+                estimate |= {x[0]: (k + smoothing * p) / (n + smoothing) for x in branch}
+        for name, c in grouped.items():
+            walk(host, c, depth + 1, estimate.get(name, p))
+
+    for host in {h for h, _, _ in rows}:
+        mine = [(t, b) for h, t, b in rows if h == host]
+        n, k = counts(mine)
+        walk(host, mine, 0, (k + smoothing * everywhere) / (n + smoothing))
+    return out
+
+
+@pytest.mark.parametrize("max_children", [50, 3])
+def test_template_tree_by_brute_force(spark, max_children):
+    rng = random.Random(max_children)
+    rates = {}
+    rows = []
+    for _ in range(3000):
+        host = rng.choice(["a.net", "b.net", ""])
+        parts = [rng.choice("pqrstuv") for _ in range(rng.randrange(4))]
+        rate = rates.setdefault((host, *parts[:2]), rng.choice([0.02, 0.1, 0.5, 0.9, 0.97]))
+        rows.append((host, "/".join(parts), int(rng.random() < rate) if rng.random() < 0.8 else None))
+    frame = spark.createDataFrame(rows, "host string, template string, bad int")
+    got = {(r.host, r.template): r.bad_share for r in url_filter.template_tree(frame, max_children=max_children).collect()}
+    want = brute_tree(rows, max_children)
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    none = url_filter.template_tree(frame.withColumn("bad", F.lit(None).cast("int"))).collect()
+    assert len(none) == len(want) and {r.bad_share for r in none} == {None}
+
+
+def test_alike_siblings_share_an_estimate_and_a_bar_is_a_bar(spark):
+    rows = [("h", f"{s}/x", int(i < bad)) for s, bad in (("a", 38), ("b", 39), ("c", 1), ("d", 20)) for i in range(40)]
+    tree = {r.template: r.bad_share for r in url_filter.template_tree(spark.createDataFrame(rows, "host string, template string, bad int")).collect()}
+    assert tree["a/x"] == tree["b/x"] > 0.8 and tree["c/x"] < 0.2 and 0.4 < tree["d/x"] < 0.7
+    pages = spark.createDataFrame([(0, "http://h/a"), (1, "http://h/a")], "page_id bigint, url string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "page_id bigint, bad int")
+    assert {(r.verdict, r.bad_share) for r in url_filter.filter_urls(pages, labels).collect()} == {("block", 0.5)}
+
+
 def test_urls_of_many_sections(spark):
     urls = [f"http://h.net/sec-{a}{b}/{i}" for a in "abcdefgh" for b in "abcdefgh" for i in range(10)] + [f"http://h.net/spam/{i}" for i in range(100)]
     for url, verdict in judged_urls(spark, urls):
