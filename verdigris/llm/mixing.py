@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks, with DataFrame functions only.
 
 1. Every source gets a token target (weights, a cap of ``max_repeats`` times its size, the excess reshared).
-2. Sources are cut into shards of bounded size, by a hash of the document's id. The documents of a shard, in seeded
-   order, are one stream of words, cut into blocks of ``block_tokens``; the stream may be passed ``max_repeats`` times.
+2. Sources are cut into shards of bounded size, by a seeded MD5 of the document's id and size. The documents of a shard,
+   in the order of that digest, are one stream of words, cut into blocks of ``block_tokens``; the stream may be passed ``max_repeats`` times.
 3. Sainte-Laguë (divisors 1, 3, 5, ...) gives the blocks of the whole mix to sources, and those of a source to its shards.
 4. A shard takes whole passes, then blocks of its next pass at seeded places, until its quota is met.
 
@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Primes above any number of blocks a shard can have; one of them steps through the blocks of a shard.
-_STEPS = (2147483647, 2147483629, 2147483587, 2147483579)
+#: A prime above any number of blocks a shard can have; it steps through the blocks of a shard.
+_STEP = 2147483647
+
+
+def digest_number(text: Column, first: int = 1, digits: int = 8) -> Column:
+    """A number from some of the hexadecimal digits of the text's MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), first, digits), 16, 10).cast("long")
 
 
 def word_count(text: Column) -> Column:
@@ -57,30 +62,46 @@ def source_targets(sources: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2),
 def sainte_lague(parts: DataFrame, key: list[str], seats: Column, value: str, most: str) -> DataFrame:
     """Adds ``quota``: of each group's ``seats``, those that the highest quotients value / (2k + 1) give to its parts.
 
-    Starts from the nearest whole numbers of the ideal shares, which the divisor rule also gives for some number of
-    seats near the wanted one, then gives or takes the few that differ one by one in the order of their quotients.
-    No part gets more than ``most``. Ties go to the smaller ``part``. With a total of 0 nobody gets a seat.
+    No part gets more than ``most``. Of equal quotients that of the smaller ``part`` comes first, so when seats run out
+    the larger one goes without. With a total of 0 nobody gets a seat.
+
+    Only quotients near the last one that gets a seat are ranked. The divisor that would hand out the seats exactly, if
+    seats could be split, is found from prefix sums over the parts in the order of their caps; rounding by it gives every
+    part all its seats but a few. Each part then offers its next seats, and puts up its last ones, in number its share of
+    what is still to be moved and one more on either side, so that the ranked rows are a small multiple of the parts.
     """
     group = Window.partitionBy(*key)
-    total = F.sum(value).over(group)
-    base = parts.withColumn("_seats", seats).withColumn(
-        "_start", F.least(F.col(most), F.when(total > 0, F.round(F.col(value) / total * F.col("_seats"))).otherwise(0).cast("long"))
-    )
+    some = F.col(value) > 0
+    cap = F.when(some, F.col(most)).otherwise(0)
+    order = Window.partitionBy(*key).orderBy(F.when(some, cap / F.col(value)).otherwise(0), "part")
+    after = order.rowsBetween(0, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # As in source_targets: the parts with the least caps for their value are full, the others share the rest by value.
+    base = parts.withColumn("_seats", F.least(seats, F.sum(cap).over(group)))
+    base = base.withColumn("_rate", F.greatest((F.col("_seats") - F.coalesce(F.sum(cap).over(before), F.lit(0))), F.lit(0)) / F.greatest(F.sum(value).over(after), F.lit(1)))
+    base = base.withColumn("_free", cap > F.col("_rate") * F.col(value)).withColumn("_rank", F.row_number().over(order))
+    base = base.withColumn("_first", F.min(F.when(F.col("_free"), F.col("_rank"))).over(group))
+    base = base.withColumn("_even", F.max(F.when(F.col("_rank") == F.col("_first"), F.col("_rate"))).over(group))
+    base = base.withColumn("_start", F.when(F.col("_rank") >= F.col("_first"), F.least(cap, F.round(F.col("_even") * F.col(value)).cast("long"))).otherwise(cap))
     base = base.withColumn("_left", F.col("_seats") - F.sum("_start").over(group))
-    step = F.sequence(F.lit(1).cast("long"), F.abs("_left"))
-    moves = base.where("_left <> 0").withColumn("_step", F.explode(step))
-    nth = F.when(F.col("_left") > 0, F.col("_start") + F.col("_step") - 1).otherwise(F.col("_start") - F.col("_step"))
-    moves = moves.withColumn("_nth", nth).where((F.col("_nth") >= 0) & (F.col("_nth") < F.col(most)) & (F.col(value) > 0))
-    quotient = F.col(value) / (2 * F.col("_nth") + 1)
-    order = Window.partitionBy(*key).orderBy(F.when(F.col("_left") > 0, -quotient).otherwise(quotient), "part", "_step")
-    chosen = moves.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= F.abs("_left"))
-    changes = chosen.groupBy(*key, "part").agg(F.sum(F.signum("_left")).cast("long").alias("_change"))
-    mine, theirs = base.alias("b"), changes.alias("c")
+    open_value = F.sum(F.when(F.col("_rank") >= F.col("_first"), F.col(value)).otherwise(0)).over(group)
+    reach = F.abs("_left") + F.count("*").over(group)
+    base = base.withColumn("_near", F.least(reach, F.ceil(F.col(value) * reach / F.greatest(open_value, F.lit(1))) + 1).cast("long"))
+    low = F.greatest(F.col("_start") - F.col("_near"), F.lit(0))
+    high = F.least(F.col("_start") + F.col("_near"), cap)
+    # The seats below ``low`` are sure; those from it on are ranked against each other.
+    seat = base.withColumn("_low", low).withColumn("_high", high).where("_high > _low").withColumn("_nth", F.explode(F.sequence("_low", F.col("_high") - 1)))
+    seat = seat.withColumn("_given", F.sum(F.when(F.col("_nth") < F.col("_start"), 1).otherwise(0)).over(group) + F.col("_left"))
+    ranked = Window.partitionBy(*key).orderBy(F.desc(F.col(value) / (2 * F.col("_nth") + 1)), "part", "_nth")
+    chosen = seat.withColumn("_turn", F.row_number().over(ranked)).where(F.col("_turn") <= F.col("_given"))
+    changes = chosen.groupBy(*key, "part").agg(F.count("*").alias("_got"))
+    mine, theirs = base.withColumn("_low", low).alias("b"), changes.alias("c")
     same = F.col("b.part") == F.col("c.part")
     for k in key:
         same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}"))
     joined = mine.join(theirs, same, "left")
-    return joined.select("b.*", (F.col("b._start") + F.coalesce(F.col("c._change"), F.lit(0))).alias("quota")).drop("_seats", "_start", "_left")
+    hidden = ["_seats", "_rate", "_free", "_rank", "_first", "_even", "_start", "_left", "_near", "_low"]
+    return joined.select("b.*", (F.col("b._low") + F.coalesce(F.col("c._got"), F.lit(0))).alias("quota")).drop(*hidden)
 
 
 def mix(
@@ -101,11 +122,13 @@ def mix(
 
     Null texts and texts of white space have size 0 and nothing is taken from them; a null source is a source of its
     own, after the others. Rows that are the same are mixed as separate rows; which of them is first makes no
-    difference to the result. An empty table gives no rows. Other columns are ignored, whatever their names. Reruns give the same rows.
+    difference to the result. A null id is dealt by its size, and the rows of one id and size stand in one shard however
+    many they are, spilled but whole. A document longer than a shard is one all the same. An empty table gives no rows.
+    Other columns are ignored, whatever their names. Reruns give the same rows. Texts are read once, for their sizes.
     With ``keep_plan``: also what ``apply_mix`` needs of the plan.
     """
     plan_key = [F.xxhash64(docs[text_col]).alias("_th")] if keep_plan else []
-    sized = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), *plan_key)
+    sized = materialize(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), *plan_key), "sizes")
     totals = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
     sources = source_targets(totals, weights=weights, share=share, max_repeats=max_repeats)
     blocks = F.floor(F.col("source_size") * max_repeats / block_tokens) + 1
@@ -117,7 +140,8 @@ def mix(
 
     mine, theirs = sized.alias("d"), given.alias("s")
     placed = mine.join(theirs, F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.source_quota", "s._shards")
-    placed = placed.withColumn("_order", F.xxhash64(F.col("id").cast("string"), F.lit(seed))).withColumn("part", F.pmod("_order", F.col("_shards")))
+    name = F.concat_ws(":", F.lit(seed), F.col("id").cast("string"), F.when(F.col("id").isNull(), F.col("size")))
+    placed = placed.withColumn("_order", digest_number(name, 1, 12)).withColumn("part", F.pmod(digest_number(name, 17), F.col("_shards")))
 
     shards = placed.groupBy("source", "part").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = materialize(shards.withColumn("_blocks", F.ceil(F.col("shard_size") / block_tokens).cast("long")).withColumn("_most", F.col("_blocks") * max_repeats), "shards")
@@ -130,10 +154,8 @@ def mix(
 
     passes = F.floor(F.col("quota") / F.greatest(F.col("_blocks"), F.lit(1))).cast("long")
     rest = F.col("quota") - passes * F.col("_blocks")
-    place = F.xxhash64("source", "part", F.lit(seed))
-    step = F.element_at(F.array(*[F.lit(s) for s in _STEPS]), (F.pmod(place, F.lit(len(_STEPS))) + 1).cast("int")).cast("long")
-    shift = F.pmod(F.shiftright(place, 3), F.greatest(F.col("_blocks"), F.lit(1)))
-    rows = rows.withColumn("_passes", passes).withColumn("_rest", rest).withColumn("_stride", F.pmod(step, F.greatest(F.col("_blocks"), F.lit(1)))).withColumn("_shift", shift)
+    shift = F.pmod(digest_number(F.concat_ws(":", F.lit(seed), "source", "part")), F.greatest(F.col("_blocks"), F.lit(1)))
+    rows = rows.withColumn("_passes", passes).withColumn("_rest", rest).withColumn("_stride", F.pmod(F.lit(_STEP), F.greatest(F.col("_blocks"), F.lit(1)))).withColumn("_shift", shift)
 
     def words_of(block: Column) -> Column:
         chosen = F.pmod(block * F.col("_stride") + F.col("_shift"), F.greatest(F.col("_blocks"), F.lit(1))) < F.col("_rest")

@@ -97,6 +97,45 @@ links AS (SELECT a, b FROM p WHERE 100 * i >= 80 * (na + nb - i)),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 m AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, least(s.doc_id, m.low) AS component_id FROM s LEFT JOIN m ON m.a = s.doc_id
+""",
+    # Every quotient of every source and shard is ranked here, and every block looked at by itself.
+    "op4_source_mixing": """
+WITH d AS (
+  SELECT *, md5(concat_ws(':', 7, CAST(doc_id AS VARCHAR), CASE WHEN doc_id IS NULL THEN size END)) AS h FROM (
+  SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents)
+), src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM d GROUP BY source
+), w AS (SELECT *, CAST([3, 1, 2][CAST(pos % 3 AS INT) + 1] AS BIGINT) AS weight FROM src
+), tot AS (SELECT 1.5::DOUBLE * sum(source_size) AS goal FROM w
+), lv AS (  -- the first so many sources by cap and weight are at their caps; the least number after which no other is above its own
+  SELECT *, ((SELECT goal FROM tot) - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY 2 * source_size / weight, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY 2 * source_size / weight, pos) AS rnk FROM w
+), fst AS (SELECT level AS water, rnk AS first_free FROM lv WHERE 2 * source_size > level * weight ORDER BY rnk LIMIT 1
+), t AS (
+  SELECT lv.*, CASE WHEN rnk >= first_free THEN water * weight ELSE CAST(2 * source_size AS DOUBLE) END AS target, source_size // 1048576 + 1 AS shards FROM lv LEFT JOIN fst ON true
+), seats AS (SELECT CAST(round(sum(target) / 16) AS BIGINT) AS n FROM t
+), sq AS (SELECT pos, target / (2 * k + 1) AS q, k FROM (SELECT pos, target, unnest(range(source_size * 2 // 16 + 1)) AS k FROM t WHERE target > 0)
+), given AS (SELECT pos, count(*) AS quota FROM (SELECT pos, row_number() OVER (ORDER BY q DESC, pos, k) AS r FROM sq) WHERE r <= (SELECT n FROM seats) GROUP BY pos
+), p AS (
+  SELECT d.*, t.pos, t.source_size, t.target, CAST('0x' || substr(h, 17, 8) AS BIGINT) % t.shards AS part, CAST('0x' || substr(h, 1, 12) AS BIGINT) AS o
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), sh AS (SELECT pos, any_value(source) AS source, part, CAST(sum(size) AS BIGINT) AS v, CAST(ceil(sum(size) / 16) AS BIGINT) AS blocks FROM p GROUP BY pos, part
+), hq AS (SELECT pos, part, v / (2 * k + 1) AS q, k FROM (SELECT pos, part, v, unnest(range(2 * blocks)) AS k FROM sh WHERE v > 0)
+), hr AS (SELECT pos, part, row_number() OVER (PARTITION BY pos ORDER BY q DESC, part, k) AS r FROM hq
+), hg AS (SELECT hr.pos, part, count(*) AS quota FROM hr JOIN given USING (pos) WHERE r <= given.quota GROUP BY hr.pos, part
+), s AS (
+  SELECT sh.*, coalesce(hg.quota, 0) AS quota, greatest(blocks, 1) AS m, CAST('0x' || substr(md5(concat_ws(':', 7, source, part)), 1, 8) AS BIGINT) % greatest(blocks, 1) AS shift
+  FROM sh LEFT JOIN hg USING (pos, part)
+), r AS (
+  SELECT p.*, s.m, s.shift, s.quota // s.m AS passes, s.quota % s.m AS rest, CAST(sum(size) OVER (PARTITION BY p.pos, p.part ORDER BY o, doc_id NULLS FIRST, size, rid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ending
+  FROM p JOIN s USING (pos, part)
+), b AS (SELECT *, ending - size AS beginning FROM r
+), partial AS (
+  SELECT rid, sum(least(ending, (block + 1) * 16) - greatest(beginning, block * 16)) AS words
+  FROM (SELECT *, unnest(range(beginning // 16, (ending - 1) // 16 + 1)) AS block FROM b WHERE size > 0 AND rest > 0)
+  WHERE (block * (2147483647 % m) + shift) % m < rest GROUP BY rid
+)
+SELECT doc_id, size, source_size, target, CAST(size * passes + coalesce(words, 0) AS BIGINT) AS taken FROM b LEFT JOIN partial USING (rid)
 """,
     "op8_warc_dictionary": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
