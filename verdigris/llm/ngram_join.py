@@ -7,9 +7,9 @@ Jaccard similarity t, the larger of b elements, differ in at most 2b(1-t)/(1+t).
 * Size bands: bands of set sizes, the upper end BAND times the lower. A document is keyed in its own band and, if a
   partner may be in the next one, in that too, so two documents that can link share the larger one's band.
 * Pigeonhole: in a band whose pairs differ in at most d elements the sketch is cut into d + 1 blocks, so that two
-  linked documents agree on a whole block. Blocks are hashed to join keys; empty blocks are no keys. Of more than
-  ``max_blocks`` blocks the first ``max_blocks`` are keys: at the threshold a block stays equal with probability
-  1/e or more, so a link is missed with a probability below (1 - 1/e)^max_blocks, 5e-9 for 42; ``max_blocks=None`` keys all.
+  linked documents agree on a whole block. Blocks are hashed to join keys; empty blocks are no keys. All blocks are keys,
+  so no link is missed. With ``max_blocks`` only so many are: at the threshold a block stays equal with probability
+  1/e or more, so a link is missed with a probability below (1 - 1/e)^max_blocks, 5e-9 for 42, for less to shuffle.
 * Prefix: two linked documents that agree on empty blocks only differ in every block that either fills, so both fill no
   more blocks than they can differ in. Documents of so few filled blocks, if all their blocks are keys, are keyed by
   the least of their hashed shingles too, so many that two linked sets have one of them in common.
@@ -35,7 +35,7 @@ from ._shared import connected_components, materialize
 from ._tiles import bounds, fixed, runs, tiled
 
 BAND = 1.5
-MAX_BLOCKS = 42
+MAX_BLOCKS = None
 #: Rows of a tile, and up to how many rows a tile's pairs are all verified at once.
 TILE, SMALL = 1024, 12
 SKETCH_BYTES = 128
@@ -243,7 +243,7 @@ def jaccard_join(
 
     class_id is the smallest id with the same set, component_id the smallest reachable by links between documents
     whose sets have a Jaccard similarity of ``percent`` / 100 or more. Null or empty texts have n_shingles 0 and are
-    their own class and component. Rows repeated with one id are separate rows of one class; a null id is never a
+    their own class and component. Texts are taken whole, however long: a document has a key for some 0.22 of its shingles. Rows repeated with one id are separate rows of one class; a null id is never a
     class's or component's name, which is null if there is no other. An empty table gives no rows; other columns are
     ignored whatever their names. With ``keep_links``: also the links found between classes (a, b as class_id),
     which connect every component, but aren't every link of a large group.
