@@ -149,21 +149,21 @@ def links_in_tiles(rows: DataFrame, threshold: float, probes: int) -> DataFrame:
                 if hi - lo < 2:
                     continue
                 part = raw.slice(lo, hi - lo).to_pylist()
-                if len({len(x) for x in part}) > 1:  # the label and the number of components are hashed into the key: a collision only
-                    continue
-                x = np.frombuffer(b"".join(part), np.float64).reshape(hi - lo, -1)
-                unit = x / np.abs(x).max(1, keepdims=True)
-                unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
-                near = np.triu(unit @ unit.T >= threshold - 1e-9, 1)
-                if t1[lo] != t2[lo]:  # pairs within a chunk are counted in its own tile
-                    near &= chunk[lo:hi][:, None] != chunk[lo:hi][None, :]
-                i, j = np.nonzero(near)
-                if not len(i):
-                    continue
-                ok = (unit[i] * unit[j]).sum(1) >= threshold
-                i, j = i[ok], j[ok]
-                own = wide[lo:hi]
-                ok = _first_shared(own, i, j, key[lo], probes)
+                size = np.array([len(x) for x in part])
+                i, j = [], []
+                for wide_as in np.unique(size):  # the number of components is hashed into the key: more than one by a collision only
+                    rows = np.flatnonzero(size == wide_as)
+                    x = np.frombuffer(b"".join([part[r] for r in rows]), np.float64).reshape(len(rows), -1)
+                    unit = x / np.abs(x).max(1, keepdims=True)
+                    unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
+                    near = np.triu(unit @ unit.T >= threshold - 1e-9, 1)
+                    if t1[lo] != t2[lo]:  # pairs within a chunk are counted in its own tile
+                        near &= chunk[lo:hi][rows][:, None] != chunk[lo:hi][rows][None, :]
+                    p, q = np.nonzero(near)
+                    ok = (unit[p] * unit[q]).sum(1) >= threshold
+                    i.append(rows[p[ok]]), j.append(rows[q[ok]])
+                i, j = np.concatenate(i), np.concatenate(j)
+                ok = _first_shared(wide[lo:hi], i, j, key[lo], probes)
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
