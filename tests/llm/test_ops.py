@@ -140,6 +140,18 @@ def test_near_duplicates(spark, monkeypatch, tile):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_a_tile_of_several_widths_keeps_all_links(spark):
+    """As a collision of bucket keys would make it."""
+    rows = []
+    for i, (width, turn) in enumerate([(4, 0), (6, 0), (4, 1), (6, 1), (4, 50), (5, 0)]):
+        vec = np.ones(width)
+        vec[0] += turn / 100
+        rows.append((1, 0, 0, i, vec.tobytes(), [1, 2, 3, 4], 1, 0))
+    frame = spark.createDataFrame(rows, "key bigint, t1 int, t2 int, cls bigint, vec binary, keys array<bigint>, m bigint, chunk int")
+    found = embedding_dedup.links_in_tiles(frame, 0.98, 4).collect()
+    assert {(r.a, r.b) for r in found if r.b is not None} == {(0, 2), (1, 3)} or {r.a: r.n for r in found if r.b is None} == {0: 2, 2: 2, 4: 2, 1: 1, 3: 1}
+
+
 def test_hash_recall_at_the_threshold():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(20_000, 64))
@@ -228,7 +240,7 @@ def brute_join(all_texts):
     return sets, components(len(sets), links)
 
 
-@pytest.mark.parametrize(("small", "tile", "blocks"), [(12, 1024, 42), (2, 4, None)])
+@pytest.mark.parametrize(("small", "tile", "blocks"), [(12, 1024, 42), (2, 4, None), (12, 1024, None)])
 def test_jaccard_join(docs, empty, monkeypatch, small, tile, blocks):
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "TILE", tile)
@@ -329,19 +341,38 @@ def test_mix_takes_what_it_says(docs):
 
 
 def test_sainte_lague_by_highest_quotients(spark):
+    """Caps that bind for all, some or no parts, ties, zeros, seats for none and for more than all."""
     rng = random.Random(3)
-    for seats in (0, 1, 7, 100):
-        values = [rng.choice([0, 1, 3, 10, 50, 400]) for _ in range(9)]
-        most = [rng.choice([1, 5, 1000]) for _ in values]
-        quotients = sorted(((-(v / (2 * k + 1)), i, k) for i, v in enumerate(values) if v for k in range(min(most[i], seats))))
-        want = [0] * 9
-        for _, i, _ in quotients[:seats]:
-            want[i] += 1
-        frame = spark.createDataFrame([(1, i, float(v), m) for i, (v, m) in enumerate(zip(values, most, strict=True))], "g int, part int, v double, m bigint")
-        got = {r.part: r.quota for r in mixing.sainte_lague(frame, ["g"], F.lit(seats).cast("bigint"), "v", "m").collect()}
-        if sum(min(m, 10**9) for v, m in zip(values, most, strict=True) if v) >= seats and all(m == 1000 for m in most):
-            assert [got[i] for i in range(9)] == want
-        assert sum(got.values()) <= max(seats, 0) and all(0 <= got[i] <= most[i] for i in range(9))
+    rows, want = [], {}
+    for case in range(200):
+        values = [rng.choice([0, 1, 5, 5, 10, 100, rng.randrange(1000)]) for _ in range(rng.randrange(1, 9))]
+        most = rng.choice([[1000] * len(values), [rng.randrange(30) for _ in values], [max(1, 2 * v // 3) for v in values]])
+        seats = rng.randrange(80)
+        quotients = sorted((-(v / (2 * k + 1)), i, k) for i, v in enumerate(values) if v for k in range(min(most[i], 80)))
+        given = [i for _, i, _ in quotients[:seats]]
+        for i, (v, m) in enumerate(zip(values, most, strict=True)):
+            rows.append((case, i, v, m, seats))
+            want[case, i] = given.count(i)
+    frame = spark.createDataFrame(rows, "g int, part int, v bigint, m bigint, seats bigint")
+    got = {(r.g, r.part): r.quota for r in mixing.sainte_lague(frame, ["g"], F.col("seats"), "v", "m").collect()}
+    assert got == want
+    tied = spark.createDataFrame([(1, 1, 5, 9), (1, 0, 5, 9)], "g int, part int, v bigint, m bigint")
+    assert {r.part: r.quota for r in mixing.sainte_lague(tied, ["g"], F.lit(1).cast("bigint"), "v", "m").collect()} == {0: 1, 1: 0}
+
+
+@pytest.mark.parametrize("copies", [1, 9])
+def test_mixing_against_sql_that_ranks_every_quotient(docs, copies):
+    """Odd rows: null texts, sources and ids, repeated rows."""
+    import duckdb
+
+    table = docs.withColumn("doc_id", F.when(F.col("doc_id") % 11 != 3, F.col("doc_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("copy")
+    got = mixing.mix(table).select("doc_id", "size", "source_size", "target", "taken").collect()
+    documents = table.toArrow()  # noqa: F841  read by name
+    con = duckdb.connect()
+    con.register("documents", documents)
+    found = con.execute(queries.ORACLE_SQL["op4_source_mixing"]).fetchall()
+    order = lambda rows: sorted(map(str, (tuple(r) for r in rows)))
+    assert order(got) == order(found) and len(got) == copies * len(texts())
 
 
 def judge_url(url):

@@ -7,15 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go when the session names no shared folder (tests, notebooks).
+#: Where intermediate tables go if the session names no shared folder and has no executors but itself (tests, notebooks).
 LOCAL_FALLBACK = "/tmp/verdigris-shared"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it."""
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (path or LOCAL_FALLBACK).rstrip("/")
 
 
