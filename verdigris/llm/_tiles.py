@@ -16,10 +16,11 @@ def tiled(rows: DataFrame, key: str, member: str, tile: int) -> DataFrame:
     ``rows`` has a bucket ``key`` (long) and a ``member`` (long). A bucket of at most ``tile`` rows is one tile
     (0, 0). A larger one is dealt by a hash into chunks of about that many; every row then goes to the tiles of its
     chunk with each chunk, so that each pair of rows meets in a tile, and no task ever holds more than a tile. The
-    counts are aggregated before the shuffle, and the join back is one that AQE can split.
+    counts are aggregated before the shuffle, and the join back is one that AQE can split. Rows that come more than once
+    are kept once, in the tiles that their number asks for.
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    kept = rows.join(sizes, key)
+    kept = rows.join(sizes, key).dropDuplicates([key, member])
     chunks = F.ceil(F.col("_n") / tile).cast("int")
     mine = F.pmod(F.xxhash64(member, F.lit(11)), chunks.cast("long")).cast("int")
     kept = kept.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))

@@ -39,6 +39,8 @@ MAX_BLOCKS = None
 #: Rows of a tile, and up to how many rows a tile's pairs are all verified at once.
 TILE, SMALL = 1024, 12
 SKETCH_BYTES = 128
+#: Classes that a task remembers to have keyed.
+MET = 200_000
 #: Up to this many documents in candidate pairs, their ids (8 bytes each) are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -99,16 +101,22 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, max_blocks: int | None) -> DataFrame:
-    """(doc_id, text_hash, n, cls, keys, sketch) per row; cls: a 64-bit hash of the set, null for an empty one."""
+    """(doc_id, text_hash, n, cls, keys, sketch) per row; cls: a 64-bit hash of the set, null for an empty one.
+
+    Keys and sketch stand with the first row of a class in a task, or a later one if the task has met many others since.
+    """
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
     kind = source.schema["doc_id"].dataType.simpleString()
     edges = band_edges(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
                 n, cls, keys, sketch = [], [], [], []
+                if len(met) > MET:
+                    met.clear()
                 with np.errstate(over="ignore"):
                     for tokens in shingle_sets(batch.column(1), k):
                         n.append(len(tokens))
@@ -116,6 +124,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: flo
                             cls.append(None), keys.append(None), sketch.append(None)
                             continue
                         cls.append(set_name(tokens))
+                        if cls[-1] in met:
+                            keys.append(None), sketch.append(None)
+                            continue
+                        met.add(cls[-1])
                         own, folded = sketch_one(tokens, edges, threshold, max_blocks)
                         keys.append(own), sketch.append(folded)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(2), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
@@ -251,11 +263,10 @@ def jaccard_join(
     threshold = percent / 100
     base = materialize(sketches(docs, id_col, text_col, k, threshold, max_blocks), "sketches")
     classes = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
-    stand = base.where("cls is not null").select("cls", "n", "keys", "sketch").dropDuplicates(["cls"])
-    stand = materialize(stand, "classes")
-    rows = stand.select(F.explode("keys").alias("key"), "cls")
+    stand = materialize(base.where("sketch is not null").select("cls", "n", "sketch").dropDuplicates(["cls"]), "classes")
+    rows = base.select(F.explode("keys").alias("key"), "cls")
     placed = materialize(tiled(rows, "key", "cls", TILE), "tiles")
-    described = placed.join(stand.select("cls", "n", "sketch"), "cls")
+    described = placed.join(stand, "cls")
     first = materialize(candidate_pairs(described.withColumn("comp", F.lit(0).cast("long")), threshold, across=False), "pairs")
     involved = placed.where(f"_n > {SMALL}").select("cls").union(first.select("a")).union(first.select("b")).distinct()
     wanted = base.where("doc_id is not null and cls is not null").join(involved, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
@@ -265,7 +276,7 @@ def jaccard_join(
 
     large = placed.where(f"_n > {SMALL}")
     if not large.isEmpty():
-        labelled = large.join(stand.select("cls", "n", "sketch"), "cls").join(groups, F.col("cls") == F.col("node"), "left")
+        labelled = large.join(stand, "cls").join(groups, F.col("cls") == F.col("node"), "left")
         labelled = labelled.withColumn("comp", F.coalesce("comp", "cls"))
         more = candidate_pairs(labelled, threshold, across=True).join(first, ["a", "b"], "left_anti")
         extra = materialize(verified(more, sets, percent), "more-links")
