@@ -3,10 +3,13 @@
 * Index: rows go to the list of their nearest centroid, and boundary rows to other lists whose centroid is not much
   farther (CLOSURE times the nearest distance), at most REPLICAS of them. Largest inner products become nearest
   points by one more component that gives every row the same norm.
-* Fit: centroids by balanced k-means on a sample of at most SAMPLE rows, those whose ids hash lowest, on the driver.
+* Fit: centroids by balanced k-means on a sample of the rows whose ids hash lowest, on the driver: an eighth of the
+  table, at least LEAST_SAMPLE and at most SAMPLE rows. Over FLAT centroids are found in two steps, groups first and
+  then the centroids of each group. Lists hold about LIST_ROWS rows each, until there are SAMPLE / 16 of them.
   A list that holds many rows all the same, such as one of copies, is cut into parts of PART_ROWS by a hash, and a
   query that selects the list goes to all of them; so no task has more than a part.
-* Search: a best-first search in a neighbour graph of the centroids finds a query's nearest ones; it selects the lists
+* Search: a best-first search in a neighbour graph of the centroids finds a query's WIDTH nearest ones, and looks at few
+  of the others; it selects the lists
   whose distance is within a ratio of the nearest's (or of a typical nearest one, if that is larger), and as many of
   the nearest as hold enough different rows. The ratio is the least that finds RECALL of the true neighbours of
   sampled queries in the sample, by brute force. Rows of the lists are scored exactly, in double precision.
@@ -26,9 +29,12 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 from .embedding_dedup import vectors_of
 
-SAMPLE = 16_384
-#: Rows of a list, about; at most SAMPLE / 32 lists, and one for fewer rows than two lists hold.
+SAMPLE, LEAST_SAMPLE = 131_072, 16_384
+#: Rows of a list, about; one list for fewer rows than two lists hold.
 LIST_ROWS = 256
+FLAT = 512
+#: Centroids that the graph search of a query ends with; it stops when the nearest one left to expand is farther than all of them.
+WIDTH = 48
 REPLICAS, CLOSURE = 4, 1.25
 #: Lists whose hits say what the hits of a query's other lists must reach.
 FIRST = 4
@@ -53,31 +59,38 @@ class Centroids:
     floor: float = 0.0
     sizes: np.ndarray | None = None
     least: int = 0
+    width: int = WIDTH
+    #: Where searches begin: centroids spread over the space.
+    entries: np.ndarray | None = None
 
     @classmethod
     def fit(cls, x: np.ndarray, lists: int, top: float, seed: int = 17) -> "Centroids":
-        rng = np.random.Generator(np.random.PCG64(seed))
         rows = lift(x, top)
         lists = max(1, min(lists, len(rows)))
-        points = rows[rng.choice(len(rows), lists, replace=False)].copy()
-        spread = squared(rows[: 512], points).min(1).mean() if lists > 1 else 1.0
-        price = np.zeros(lists)
-        for _ in range(15):  # a list above its share becomes dearer, so the lists even out
-            home = (squared(rows, points) + price).argmin(1)
-            size = np.bincount(home, minlength=lists)
-            price = 0.6 * price + 0.1 * spread * np.clip(size * lists / len(rows) - 1, -1, 3)
-            total = np.zeros_like(points)
-            np.add.at(total, home, rows)
-            points = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], points)
+        groups = int(np.sqrt(lists)) if lists > FLAT else 1
+        if groups == 1:
+            points = balanced(rows, lists, seed)
+        else:
+            heads = balanced(rows, groups, seed)
+            home = nearest(rows, heads)
+            share = np.bincount(home, minlength=groups) * lists / len(rows)
+            points = np.concatenate([balanced(rows[home == g], max(1, round(share[g])), seed + 1 + g) for g in range(groups) if share[g] > 0])
+        lists = len(points)
         degree = min(DEGREE, lists - 1)
-        far = squared(points, points)
-        np.fill_diagonal(far, np.inf)
-        graph = np.argsort(far, axis=1, kind="stable")[:, :degree]
+        graph = np.empty((lists, degree), np.int64)
+        for lo in range(0, lists, 1024):
+            far = squared(points[lo : lo + 1024], points)
+            far[np.arange(len(far)), np.arange(lo, lo + len(far))] = np.inf
+            graph[lo : lo + 1024] = np.argsort(far, axis=1, kind="stable")[:, :degree]
         jump = (np.arange(lists)[:, None] + 1 + np.arange(2)[None, :] * max(1, lists // 2)) % max(1, lists)  # a ring keeps the graph connected
-        return cls(points, np.concatenate([graph, jump], 1), top)
+        entries = np.unique(nearest(balanced(points, min(lists, 16), seed), points))
+        return cls(points, np.concatenate([graph, jump], 1), top, entries=entries)
 
     def search(self, rows: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, squared distances) of each row's ``wide`` nearest centroids as the graph search finds them, nearest first."""
+        """(numbers, squared distances) of each row's ``wide`` nearest centroids as the graph search finds them, nearest first.
+
+        Infinite distances stand behind them if the search met fewer.
+        """
         n, lists = len(rows), len(self.points)
         wide = min(wide, lists)
         seen = np.full((n, lists), np.inf)
@@ -94,8 +107,7 @@ class Centroids:
             seen[r[rr], c[rr, cc]] = d[rr, cc]
             todo[r[rr], c[rr, cc]] = d[rr, cc]
 
-        entry = np.unique(np.linspace(0, lists - 1, min(lists, 8)).astype(int))
-        visit(at, np.repeat(entry[None, :], n, 0))
+        visit(at, np.repeat(self.entries[None, :], n, 0))
         active = at
         while len(active):
             best = todo[active].argmin(1)
@@ -107,6 +119,7 @@ class Centroids:
                 break
             todo[active, best] = np.inf
             visit(active, self.graph[best])
+        self.visited = float(np.isfinite(seen).sum(1).mean()) if n else 0.0
         order = np.argsort(seen, axis=1, kind="stable")[:, :wide]
         return order, np.take_along_axis(seen, order, 1)
 
@@ -122,14 +135,23 @@ class Centroids:
         place = self.assign(x)
         member = np.zeros((len(x), len(self.points)), bool)
         member[np.arange(len(x))[:, None].repeat(place.shape[1], 1)[place >= 0], place[place >= 0]] = True
-        order, far = self.search(self.aim(asked), len(self.points))
+        self.width = WIDTH
+        while True:  # a width that reaches the lists of all these neighbours
+            order, far = self.search(self.aim(asked), self.width)
+            near_lists = [set(o[np.isfinite(f)].tolist()) for o, f in zip(order, far, strict=True)]
+            met = np.mean([bool(near_lists[i] & set(place[r][place[r] >= 0].tolist())) for i in range(len(asked)) for r in near[i]])
+            if met >= recall + 0.02 or self.width >= len(self.points):
+                break
+            self.width *= 2
         self.floor = float(np.median(far[:, 0]))
         ratio = np.sqrt(far / np.maximum(far[:, :1], max(self.floor, 1e-12)))
         need = np.full(near.shape, np.inf)  # the ratio that the query needs for this neighbour
         for i in range(len(asked)):
             on = member[near[i]][:, order[i]]
+            on &= np.isfinite(far[i])[None, :]
             need[i] = np.where(on.any(1), ratio[i][on.argmax(1)], np.inf)
-        self.ratio = float(np.quantile(need[np.isfinite(need)], recall)) + 1e-9
+        need = np.where(np.isfinite(need), need, ratio[np.isfinite(ratio)].max())
+        self.ratio = float(np.quantile(need, recall)) + 1e-9
 
     def aim(self, q: np.ndarray) -> np.ndarray:
         """Queries as points: scaled to the norm of the rows, their last component 0."""
@@ -139,20 +161,49 @@ class Centroids:
     def assign(self, x: np.ndarray) -> np.ndarray:
         """(rows, REPLICAS) lists of each row, -1 for none."""
         rows = lift(x, self.top)
-        order, far = self.search(rows, REPLICAS)
+        order, far = self.search(rows, 2 * REPLICAS)
+        order, far = order[:, :REPLICAS], far[:, :REPLICAS]
         keep = far <= far[:, :1] * CLOSURE**2 + 1e-12
         return np.where(keep, order, -1)
 
     def select(self, q: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """(lists that each query looks into, which of them it looks into first)"""
-        order, far = self.search(self.aim(q), len(self.points))
+        order, far = self.search(self.aim(q), self.width)
+        held = np.where(np.isfinite(far), self.sizes[order], 0)
+        if (held.sum(1) < self.least).any():  # the lists found hold too few rows, so all are looked at
+            order, far = self.search(self.aim(q), len(self.points))
+            held = self.sizes[order]
         keep = far <= np.maximum(far[:, :1], self.floor) * self.ratio**2 + 1e-12
-        before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+        before = np.cumsum(held, axis=1) - held
         keep |= before < self.least
+        keep &= np.isfinite(far)
         first = (before < self.least) | (np.arange(order.shape[1])[None, :] < FIRST)
         return [o[k] for o, k in zip(order, keep, strict=True)], [f[k] for f, k in zip(first, keep, strict=True)]
 
 
+def nearest(rows: np.ndarray, points: np.ndarray, price: np.ndarray | float = 0.0) -> np.ndarray:
+    """The number of each row's nearest point, in blocks."""
+    step = max(1, (1 << 22) // max(1, len(points)))
+    return np.concatenate([(squared(rows[lo : lo + step], points) + price).argmin(1) for lo in range(0, len(rows), step)] or [np.zeros(0, np.int64)])
+
+
+def balanced(rows: np.ndarray, lists: int, seed: int) -> np.ndarray:
+    """Centroids by k-means in which a list above its share becomes dearer, so that the lists even out."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    lists = min(lists, len(rows))
+    points = rows[rng.choice(len(rows), lists, replace=False)].copy()
+    spread = squared(rows[:512], points).min(1).mean() if lists > 1 else 1.0
+    price = np.zeros(lists)
+    for _ in range(15):
+        home = nearest(rows, points, price)
+        size = np.bincount(home, minlength=lists)
+        price = 0.6 * price + 0.1 * spread * np.clip(size * lists / len(rows) - 1, -1, 3)
+        total = np.zeros_like(points)
+        np.add.at(total, home, rows)
+        points = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], points)
+    return points
+
+
 def lift(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(top * top - (x * x).sum(1, keepdims=True), 0.0))], 1)
 
@@ -210,6 +261,7 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, take no part.
     Rows repeated with their id and vector are one; a query id with several vectors asks with the first of them by
     bytes; candidates have as many components as the query. An empty table, or one without candidates, gives no rows.
+    Other columns are ignored, whatever their names. A vector is held whole, however many components it has.
     """
     spark = vectors.sparkSession
     rows = materialize(_usable(vectors, id_col, vector_col).dropDuplicates(["vec_id", "vec"]), "vectors")
@@ -221,12 +273,13 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
             yield pa.RecordBatch.from_pydict({"d": batch.column(0), "norm": pa.array(norm, pa.float64())})
 
     sizes = {r["d"]: r for r in rows.select("d", "vec").mapInArrow(norms, "d int, norm double").groupBy("d").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()}
-    drawn = rows.orderBy(F.xxhash64(F.col("vec_id").cast("string")), "vec_id").limit(sample).select("d", "vec").toArrow()
+    some = min(sample, max(LEAST_SAMPLE, sum(r["n"] for r in sizes.values()) // 8))
+    drawn = rows.orderBy(F.xxhash64(F.col("vec_id").cast("string")), "vec_id").limit(some).select("d", "vec").toArrow()
     fitted: dict[int, Centroids] = {}
     widths = np.asarray(drawn.column("d"))
     for d in np.unique(widths):
         x = _matrix(drawn.column("vec").take(pa.array(np.flatnonzero(widths == d))).to_pylist())
-        lists = int(max(1, min(sizes[d]["n"] // list_rows, len(x) // 32)))
+        lists = int(max(1, min(sizes[d]["n"] // list_rows, len(x) // 16)))
         fitted[int(d)] = Centroids.fit(x, lists, sizes[d]["top"])
         fitted[int(d)].calibrate(x, k, recall)
     index = materialize(_route(rows, spark.sparkContext.broadcast(fitted), queries=False), "postings")
