@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.llm import ann, bpe, embedding_dedup, html_text, lm, mixing, ngram_join, quality, queries, url_filter, warc
+from verdigris.llm import _tiles, ann, bpe, embedding_dedup, html_text, lm, mixing, ngram_join, quality, queries, url_filter, warc
 from verdigris.llm import _textvec as tv
 from verdigris.llm._shared import connected_components
 from verdigris.llm._tiles import runs
@@ -240,8 +240,10 @@ def brute_join(all_texts):
     return sets, components(len(sets), links)
 
 
-@pytest.mark.parametrize(("small", "tile", "blocks"), [(12, 1024, 42), (2, 4, None), (12, 1024, None)])
-def test_jaccard_join(docs, empty, monkeypatch, small, tile, blocks):
+@pytest.mark.parametrize(("small", "tile", "blocks", "hot"), [(12, 1024, 42, 10**6), (2, 4, None, 10**6), (12, 1024, None, 3)])
+def test_jaccard_join(docs, empty, monkeypatch, small, tile, blocks, hot):
+    monkeypatch.setattr(_tiles, "HOT", hot)
+    monkeypatch.setattr(_tiles, "SHARE", 1)
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     sets, comp = brute_join(texts())

@@ -6,21 +6,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
+
+#: A bucket of about so many rows or more is hot; they are found by counting one member in SHARE, and none is left out for it.
+HOT, SHARE = 200_000, 64
+
 
 def tiled(rows: DataFrame, key: str, member: str, tile: int) -> DataFrame:
     """Rows of the buckets that hold two members at least, with columns t1 and t2.
 
     ``rows`` has a bucket ``key`` (long) and a ``member`` (long). A bucket of at most ``tile`` rows is one tile
     (0, 0). A larger one is dealt by a hash into chunks of about that many; every row then goes to the tiles of its
-    chunk with each chunk, so that each pair of rows meets in a tile, and no task ever holds more than a tile. The
-    counts are aggregated before the shuffle, and the join back is one that AQE can split. Rows that come more than once
-    are kept once, in the tiles that their number asks for.
+    chunk with each chunk, so that each pair of rows meets in a tile, and no task ever holds more than a tile. Rows that
+    come more than once are kept once, in the tiles that their number asks for.
+
+    Rows are shuffled once, by their key. Hot buckets, of which there are at most as many as HOT goes into the rows, stay
+    out of that shuffle: their sizes are summed where their rows are, and sent to all tasks.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    kept = rows.join(sizes, key).dropDuplicates([key, member])
+    some = rows.where(F.pmod(F.xxhash64(member, F.lit(13)), F.lit(SHARE)) == 0)
+    hot = materialize(some.groupBy(key).count().where(F.col("count") * SHARE > HOT).select(key), "hot-keys")
+    none = hot.isEmpty()
+    each = Window.partitionBy(key)
+    cold = rows if none else rows.join(F.broadcast(hot), key, "left_anti")
+    kept = cold.withColumn("_n", F.count("*").over(each)).where("_n > 1").dropDuplicates([key, member])
+    if not none:
+        many = rows.join(F.broadcast(hot), key)
+        sizes = many.groupBy(key).agg(F.count("*").alias("_n"))
+        kept = kept.unionByName(many.join(F.broadcast(sizes), key).dropDuplicates([key, member]))
     chunks = F.ceil(F.col("_n") / tile).cast("int")
     mine = F.pmod(F.xxhash64(member, F.lit(11)), chunks.cast("long")).cast("int")
     kept = kept.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
