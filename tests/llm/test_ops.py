@@ -244,6 +244,7 @@ def brute_join(all_texts):
 def test_jaccard_join(docs, empty, monkeypatch, small, tile, blocks, hot):
     monkeypatch.setattr(_tiles, "HOT", hot)
     monkeypatch.setattr(_tiles, "SHARE", 1)
+    monkeypatch.setattr(ngram_join, "CLUSTER", hot)
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     sets, comp = brute_join(texts())

@@ -14,7 +14,7 @@ Jaccard similarity t, the larger of b elements, differ in at most 2b(1-t)/(1+t).
   more blocks than they can differ in. Documents of so few filled blocks, if all their blocks are keys, are keyed by
   the least of their hashed shingles too, so many that two linked sets have one of them in common.
 * A second, folded sketch of 1024 bits prunes the pairs of a bucket: its Hamming distance is a lower bound too.
-* What is left is verified on the exact sets.
+* What is left is verified on the exact sets (as 64-bit hashes of their shingles).
 
 Documents with equal sets are one class before any pair is made. Buckets are cut into tiles of bounded size. In a
 small tile every pair that the sketch doesn't exclude is verified; in a large one first those of a minimum spanning
@@ -39,6 +39,8 @@ MAX_BLOCKS = None
 #: Rows of a tile, and up to how many rows a tile's pairs are all verified at once.
 TILE, SMALL = 1024, 12
 SKETCH_BYTES = 128
+#: Shingles of a cluster that is verified in one place (8 bytes each), and rounds of nearest partners in larger ones.
+CLUSTER, ROUNDS = 4_000_000, 3
 #: Classes that a task remembers to have keyed.
 MET = 200_000
 #: Up to this many documents in candidate pairs, their ids (8 bytes each) are sent to all executors; more are joined by a shuffle.
@@ -165,7 +167,7 @@ def spanning(sketch: np.ndarray, n: np.ndarray, threshold: float) -> list[tuple[
 
 
 def candidate_pairs(rows: DataFrame, threshold: float, across: bool) -> DataFrame:
-    """(a, b, big) from tiles of rows (key, t1, t2, cls, n, sketch, comp).
+    """(a, b, d) from tiles of rows (key, t1, t2, cls, n, sketch, comp); d is the distance of the sketches.
 
     First pass: all pairs of small tiles, and spanning forests of the others. With ``across``: of large tiles only, every pair of different comp.
     """
@@ -177,7 +179,7 @@ def candidate_pairs(rows: DataFrame, threshold: float, across: bool) -> DataFram
             n = np.asarray(batch.column(4))
             sketch = fixed(batch.column(5), SKETCH_BYTES, np.uint64)
             comp = np.asarray(batch.column(6))
-            a, b = [], []
+            a, b, far = [], [], []
             sizes = np.diff(edge)
             if not across:
                 first = edge[:-1][sizes == 2]  # most tiles are pairs: all of them at once
@@ -185,30 +187,33 @@ def candidate_pairs(rows: DataFrame, threshold: float, across: bool) -> DataFram
                     apart = np.bitwise_count(sketch[first] ^ sketch[first + 1]).sum(1, dtype=np.int64)
                     x, y = n[first], n[first + 1]
                     ok = (np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9) & (apart <= (x + y) * (1 - threshold) / (1 + threshold) + 1e-9)
-                    a.append(cls[first[ok]]), b.append(cls[first[ok] + 1])
+                    a.append(cls[first[ok]]), b.append(cls[first[ok] + 1]), far.append(apart[ok])
             for lo, size in zip(edge[:-1][sizes > 2], sizes[sizes > 2], strict=True):
                 s, m, c, g = sketch[lo : lo + size], n[lo : lo + size], cls[lo : lo + size], comp[lo : lo + size]
                 if size <= SMALL and not across:
                     for i in range(size - 1):
-                        ok = np.flatnonzero(may_link(m, i, _distances(s, i), threshold)[i + 1 :]) + i + 1
-                        a.append(np.full(len(ok), c[i])), b.append(c[ok])
+                        apart = _distances(s, i)
+                        ok = np.flatnonzero(may_link(m, i, apart, threshold)[i + 1 :]) + i + 1
+                        a.append(np.full(len(ok), c[i])), b.append(c[ok]), far.append(apart[ok])
                 elif size > SMALL and not across:
                     pairs = np.array(spanning(s, m, threshold), np.int64).reshape(-1, 2)
-                    a.append(c[pairs[:, 0]]), b.append(c[pairs[:, 1]])
+                    a.append(c[pairs[:, 0]]), b.append(c[pairs[:, 1]]), far.append(np.bitwise_count(s[pairs[:, 0]] ^ s[pairs[:, 1]]).sum(1, dtype=np.int64))
                 elif size > SMALL and (g != g[0]).any():
                     common = np.bincount(np.unique(g, return_inverse=True)[1]).argmax()
                     rare = np.flatnonzero(np.unique(g, return_inverse=True)[1] != common)  # one side of every pair across is outside the commonest component
                     for i in rare:
-                        ok = np.flatnonzero((g != g[i]) & may_link(m, i, _distances(s, i), threshold))
-                        a.append(np.full(len(ok), c[i])), b.append(c[ok])
+                        apart = _distances(s, i)
+                        ok = np.flatnonzero((g != g[i]) & may_link(m, i, apart, threshold))
+                        a.append(np.full(len(ok), c[i])), b.append(c[ok]), far.append(apart[ok])
             x = np.concatenate(a) if a else np.zeros(0, np.int64)
             y = np.concatenate(b) if b else np.zeros(0, np.int64)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            d = np.concatenate(far) if far else np.zeros(0, np.int64)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), d], 1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.RecordBatch.from_pydict({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+            yield pa.RecordBatch.from_pydict({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(), "d": pairs[:, 2].copy()})
 
     laid = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").select("key", "t1", "t2", "cls", "n", "sketch", "comp")
-    return laid.mapInArrow(run, "a bigint, b bigint").distinct()
+    return laid.mapInArrow(run, "a bigint, b bigint, d bigint").distinct()
 
 
 def set_name(tokens: np.ndarray) -> int:
@@ -232,8 +237,8 @@ def exact_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: Data
     return mine.mapInArrow(run, "cls bigint, tokens array<bigint>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes those whose sets have 100 * intersection >= percent * union."""
+def joined_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of classes those whose sets have 100 * intersection >= percent * union; both sets are moved to each pair."""
     left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -241,6 +246,75 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("_i", common).where(F.col("_i") * 100 >= (F.size("x") + F.size("y") - F.col("_i")) * percent).select("a", "b")
 
 
+def linked_in_clusters(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever the pairs (cluster, a, b, d) can link; each cluster's sets are moved once, to one place.
+
+    Pairs are tried in the order of their distances, and those whose ends are connected by then aren't tried.
+    """
+    nodes = pairs.select("cluster", F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
+    tokens = nodes.select("cluster", F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(-1).cast("bigint").alias("d"), "tokens")
+    rows = tokens.unionByName(pairs.select("cluster", "a", "b", "d", F.lit(None).cast("array<bigint>").alias("tokens")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, 1):
+            edge = bounds(batch, 1)
+            a, b, d = (np.asarray(batch.column(i).fill_null(0)) for i in (1, 2, 3))
+            texts = batch.column(4)
+            values, offsets = np.asarray(texts.values), np.asarray(texts.offsets)
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                first = lo + int(np.searchsorted(d[lo:hi], 0))  # the sets stand before the pairs
+                at = {int(c): i for i, c in enumerate(a[lo:first], int(lo))}
+                root = {c: c for c in at}
+
+                def top(v: int, root: dict[int, int] = root) -> int:
+                    while root[v] != v:
+                        root[v] = root[root[v]]
+                        v = root[v]
+                    return v
+
+                for p in range(first, hi):
+                    u, v = top(int(a[p])), top(int(b[p]))
+                    if u == v:
+                        continue
+                    i, j = at[int(a[p])], at[int(b[p])]
+                    x, y = values[offsets[i] : offsets[i + 1]], values[offsets[j] : offsets[j + 1]]
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if common * 100 >= (len(x) + len(y) - common) * percent:
+                        root[v] = u
+                        out.append((int(a[p]), int(b[p])))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.repartition("cluster").sortWithinPartitions("cluster", "d", "a").mapInArrow(run, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links between classes, true ones only, that connect all that the candidate pairs (a, b, d) link.
+
+    Pairs that hang together are a cluster. A cluster of at most CLUSTER shingles is verified in one place. In a larger
+    one each class is first compared with its nearest partner, as long as that spares comparisons, and then what is
+    still apart is compared pair by pair.
+    """
+    clusters = connected_components(pairs)
+    weight = clusters.join(sizes, F.col("node") == F.col("cls")).groupBy("comp").agg(F.sum("n").alias("_w"))
+    placed = clusters.join(weight, "comp").select(F.col("node").alias("a"), F.col("comp").alias("cluster"), (F.col("_w") > CLUSTER).alias("heavy"))
+    placed = materialize(pairs.join(placed, "a"), "clusters")
+    found = materialize(linked_in_clusters(placed.where("not heavy").select("cluster", "a", "b", "d"), sets, percent), "cluster-links")
+    rest = placed.where("heavy").select("a", "b", "d")
+    for _ in range(ROUNDS):
+        if rest.isEmpty():
+            return found
+        ends = rest.union(rest.select("b", "a", "d"))
+        nearest = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
+        nearest = materialize(nearest.distinct(), "nearest")
+        found = found.union(materialize(joined_pairs(nearest, sets, percent), "near-links"))
+        groups = materialize(connected_components(found), "near-groups")
+        a, b = groups.select(F.col("node").alias("a"), F.col("comp").alias("_a")), groups.select(F.col("node").alias("b"), F.col("comp").alias("_b"))
+        open_ones = rest.join(nearest, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
+        rest = materialize(open_ones.where("_a is null or _b is null or _a <> _b").select("a", "b", "d"), "open-pairs")
+    return found.union(joined_pairs(rest.select("a", "b"), sets, percent))
+
+
 def jaccard_join(
     docs: DataFrame,
     *,
@@ -270,16 +344,18 @@ def jaccard_join(
     first = materialize(candidate_pairs(described.withColumn("comp", F.lit(0).cast("long")), threshold, across=False), "pairs")
     involved = placed.where(f"_n > {SMALL}").select("cls").union(first.select("a")).union(first.select("b")).distinct()
     wanted = base.where("doc_id is not null and cls is not null").join(involved, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = materialize(exact_sets(docs, id_col, text_col, k, wanted).dropDuplicates(["cls"]), "sets")
-    links = materialize(verified(first, sets, percent), "links")
+    sets = materialize(exact_sets(docs, id_col, text_col, k, wanted), "sets")
+    if sets.count() > sets.select("cls").distinct().count():  # ids that come with several texts
+        sets = materialize(sets.dropDuplicates(["cls"]), "single-sets")
+    links = materialize(verified(first, sets, stand.select("cls", "n"), percent), "links")
     groups = materialize(connected_components(links), "groups")
 
     large = placed.where(f"_n > {SMALL}")
     if not large.isEmpty():
         labelled = large.join(stand, "cls").join(groups, F.col("cls") == F.col("node"), "left")
         labelled = labelled.withColumn("comp", F.coalesce("comp", "cls"))
-        more = candidate_pairs(labelled, threshold, across=True).join(first, ["a", "b"], "left_anti")
-        extra = materialize(verified(more, sets, percent), "more-links")
+        more = materialize(candidate_pairs(labelled, threshold, across=True).join(first, ["a", "b"], "left_anti"), "more-pairs")
+        extra = materialize(verified(more, sets, stand.select("cls", "n"), percent), "more-links")
         if not extra.isEmpty():
             links = links.union(extra)
             groups = materialize(connected_components(links), "groups")
