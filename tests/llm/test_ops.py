@@ -240,16 +240,15 @@ def brute_join(all_texts):
     return sets, components(len(sets), links)
 
 
-@pytest.mark.parametrize(("small", "tile", "blocks", "hot"), [(12, 1024, 42, 10**6), (2, 4, None, 10**6), (12, 1024, None, 3)])
+@pytest.mark.parametrize(("small", "tile", "blocks", "hot"), [(12, 1024, 42, 10**6), (2, 4, 10**9, 10**6), (12, 1024, 42, 3), (12, 1024, 0, 10**6), (2, 16, 1, 3)])
 def test_jaccard_join(docs, empty, monkeypatch, small, tile, blocks, hot):
     monkeypatch.setattr(_tiles, "HOT", hot)
     monkeypatch.setattr(_tiles, "SHARE", 1)
-    monkeypatch.setattr(ngram_join, "CLUSTER", hot)
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     sets, comp = brute_join(texts())
     assert len(set(comp)) < len(comp) - 15
-    got = {r.doc_id: r for r in ngram_join.jaccard_join(docs, max_blocks=blocks).collect()}
+    got = {r.doc_id: r for r in ngram_join.jaccard_join(docs, first_blocks=blocks).collect()}
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), comp[i]) for i in range(len(sets))}
     assert ngram_join.jaccard_join(empty).count() == 0
 
@@ -278,12 +277,12 @@ def test_sketch_bounds_the_difference():
         a = np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64))
         cut = int(ngram_join.most_apart(n, 0.8)) // 2
         b = np.unique(np.concatenate([a[cut:], rng.integers(1, 1 << 62, cut, dtype=np.uint64)]))
-        (ka, sa), (kb, sb) = (ngram_join.sketch_one(x, edges, 0.8, None) for x in (a, b))
+        (ka, _, sa), (kb, _, sb) = (ngram_join.sketch_one(x, edges, 0.8, 10**9) for x in (a, b))
         assert np.bitwise_count(np.frombuffer(sa, np.uint8) ^ np.frombuffer(sb, np.uint8)).sum() <= len(np.setxor1d(a, b))
         assert set(ka.tolist()) & set(kb.tolist())
 
 
-@pytest.mark.parametrize("blocks", [42, None])
+@pytest.mark.parametrize("blocks", [42, 0, 10**9])
 def test_all_links_of_small_sets_share_a_key(blocks):
     rng = np.random.default_rng(9)
     edges = ngram_join.band_edges(0.8)
@@ -292,7 +291,7 @@ def test_all_links_of_small_sets_share_a_key(blocks):
             common = -(-80 * (a + b) // 180)  # the fewest in common that link them
             for _ in range(60):
                 every = rng.integers(1, 1 << 62, a + b - common, dtype=np.uint64)
-                ka, kb = (set(ngram_join.sketch_one(np.unique(x), edges, 0.8, blocks)[0].tolist()) for x in (every[:a], every[a - common :]))
+                ka, kb = (set(np.concatenate(ngram_join.sketch_one(np.unique(x), edges, 0.8, blocks)[:2]).tolist()) for x in (every[:a], every[a - common :]))
                 assert ka & kb, (a, b)
 
 

@@ -7,14 +7,16 @@ Jaccard similarity t, the larger of b elements, differ in at most 2b(1-t)/(1+t).
 * Size bands: bands of set sizes, the upper end BAND times the lower. A document is keyed in its own band and, if a
   partner may be in the next one, in that too, so two documents that can link share the larger one's band.
 * Pigeonhole: in a band whose pairs differ in at most d elements the sketch is cut into d + 1 blocks, so that two
-  linked documents agree on a whole block. Blocks are hashed to join keys; empty blocks are no keys. All blocks are keys,
-  so no link is missed. With ``max_blocks`` only so many are: at the threshold a block stays equal with probability
-  1/e or more, so a link is missed with a probability below (1 - 1/e)^max_blocks, 5e-9 for 42, for less to shuffle.
+  linked documents agree on a whole block. Blocks are hashed to join keys; empty blocks are no keys. The first
+  FIRST_BLOCKS blocks are keys of a first pass, which finds nearly all links: at the threshold a block stays equal with
+  probability 1/e or more, so it misses one with a probability below (1 - 1/e)^FIRST_BLOCKS, 5e-9 for 42. All other
+  blocks are keys of a second pass, which compares only what isn't connected by then, so that no link is missed
+  (``exact=False`` leaves it out).
 * Prefix: two linked documents that agree on empty blocks only differ in every block that either fills, so both fill no
   more blocks than they can differ in. Documents of so few filled blocks, if all their blocks are keys, are keyed by
   the least of their hashed shingles too, so many that two linked sets have one of them in common.
 * A second, folded sketch of 1024 bits prunes the pairs of a bucket: its Hamming distance is a lower bound too.
-* What is left is verified on the exact sets (as 64-bit hashes of their shingles).
+* What is left is verified on the exact sets.
 
 Documents with equal sets are one class before any pair is made. Buckets are cut into tiles of bounded size. In a
 small tile every pair that the sketch doesn't exclude is verified; in a large one first those of a minimum spanning
@@ -35,12 +37,10 @@ from ._shared import connected_components, materialize
 from ._tiles import bounds, fixed, runs, tiled
 
 BAND = 1.5
-MAX_BLOCKS = None
+FIRST_BLOCKS = 42
 #: Rows of a tile, and up to how many rows a tile's pairs are all verified at once.
 TILE, SMALL = 1024, 12
 SKETCH_BYTES = 128
-#: Shingles of a cluster that is verified in one place (8 bytes each), and rounds of nearest partners in larger ones.
-CLUSTER, ROUNDS = 4_000_000, 3
 #: Classes that a task remembers to have keyed.
 MET = 200_000
 #: Up to this many documents in candidate pairs, their ids (8 bytes each) are sent to all executors; more are joined by a shuffle.
@@ -61,36 +61,32 @@ def most_apart(size: int | np.ndarray, threshold: float):
     return np.floor(2 * size * (1 - threshold) / (1 + threshold) + 1e-9).astype(np.int64)
 
 
-def sketch_one(tokens: np.ndarray, edges: np.ndarray, threshold: float, max_blocks: int | None) -> tuple[np.ndarray, bytes]:
-    """(join keys, folded sketch) of a set of hashed shingles."""
+def sketch_one(tokens: np.ndarray, edges: np.ndarray, threshold: float, first_blocks: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(join keys of the first pass, those of the second, folded sketch) of a set of hashed shingles."""
     with np.errstate(over="ignore"):
         n = len(tokens)
         spots = tv.mix(tokens ^ _U(0x5851F42D4C957F2D))
         home = int(np.searchsorted(edges, n, side="right")) - 1
         levels = [home] + ([home + 1] if n / threshold + 1e-9 >= edges[home + 1] else [])
-        keys, few = [], False
+        keys, more, few = [np.zeros(0, _U)], [np.zeros(0, _U)], False
         for level in levels:
             blocks = int(most_apart(int(edges[level + 1]) - 1, threshold)) + 1
-            used = blocks if max_blocks is None else min(blocks, max_blocks)
             block = ((spots >> _U(32)) * _U(blocks)) >> _U(32)
-            if used == blocks:
-                largest = min(int(n / threshold + 1e-9), int(edges[level + 1]) - 1)  # of the partners of this level
-                few = few or len(np.unique(block)) <= min(blocks - 1, int((n + largest) * (1 - threshold) / (1 + threshold) + 1e-9))
-            mine = np.flatnonzero(block < _U(used))
-            if not len(mine):
-                continue
-            block = block[mine]
-            bit = tv.mix(spots[mine] & _U((1 << 32) - 1))  # the flipped bit of the block, as its Zobrist value
+            bit = tv.mix(spots & _U((1 << 32) - 1))  # the flipped bit of the block, as its Zobrist value
             order = np.argsort(block, kind="stable")
             block = block[order]
             first = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
+            largest = min(int(n / threshold + 1e-9), int(edges[level + 1]) - 1)  # of the partners of this level
+            few = few or len(first) <= min(blocks - 1, int((n + largest) * (1 - threshold) / (1 + threshold) + 1e-9))
             value = np.bitwise_xor.reduceat(bit[order], first)
-            keys.append(tv.mix(value + tv.mix(block[first] + _U(level << 32) + _U(1))))
+            key = tv.mix(value + tv.mix(block[first] + _U(level << 32) + _U(1)))
+            early = block[first] < _U(first_blocks)
+            keys.append(key[early]), more.append(key[~early])
         if few:
             keys.append(tv.mix(np.sort(tokens)[: n - int(np.ceil(threshold * n - 1e-9)) + 1] ^ _U(0x2545F4914F6CDD1D)))
         folded = np.zeros(SKETCH_BYTES * 8, np.uint8)
         np.bitwise_xor.at(folded, (spots & _U(SKETCH_BYTES * 8 - 1)).astype(np.int64), np.uint8(1))
-        return (np.concatenate(keys) if keys else np.zeros(0, _U)).view(np.int64), np.packbits(folded).tobytes()
+        return np.concatenate(keys).view(np.int64), np.concatenate(more).view(np.int64), np.packbits(folded).tobytes()
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -102,8 +98,8 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(tv.shingle_hashes(hashes[first[i] : first[i + 1]], k))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, max_blocks: int | None) -> DataFrame:
-    """(doc_id, text_hash, n, cls, keys, sketch) per row; cls: a 64-bit hash of the set, null for an empty one.
+def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, first_blocks: int, exact: bool) -> DataFrame:
+    """(doc_id, text_hash, n, cls, keys, more, sketch) per row; cls: a 64-bit hash of the set, null for an empty one.
 
     Keys and sketch stand with the first row of a class in a task, or a later one if the task has met many others since.
     """
@@ -116,25 +112,25 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: flo
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
-                n, cls, keys, sketch = [], [], [], []
+                n, cls, keys, more, sketch = [], [], [], [], []
                 if len(met) > MET:
                     met.clear()
                 with np.errstate(over="ignore"):
                     for tokens in shingle_sets(batch.column(1), k):
                         n.append(len(tokens))
                         if not len(tokens):
-                            cls.append(None), keys.append(None), sketch.append(None)
+                            cls.append(None), keys.append(None), more.append(None), sketch.append(None)
                             continue
                         cls.append(set_name(tokens))
                         if cls[-1] in met:
-                            keys.append(None), sketch.append(None)
+                            keys.append(None), more.append(None), sketch.append(None)
                             continue
                         met.add(cls[-1])
-                        own, folded = sketch_one(tokens, edges, threshold, max_blocks)
-                        keys.append(own), sketch.append(folded)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(2), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
+                        own, others, folded = sketch_one(tokens, edges, threshold, first_blocks)
+                        keys.append(own), more.append(others if exact else None), sketch.append(folded)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(2), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "more": pa.array(more, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
 
-    return source.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n bigint, cls bigint, keys array<bigint>, sketch binary")
+    return source.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n bigint, cls bigint, keys array<bigint>, more array<bigint>, sketch binary")
 
 
 def _distances(sketch: np.ndarray, i: int) -> np.ndarray:
@@ -166,10 +162,10 @@ def spanning(sketch: np.ndarray, n: np.ndarray, threshold: float) -> list[tuple[
     return edges
 
 
-def candidate_pairs(rows: DataFrame, threshold: float, across: bool) -> DataFrame:
-    """(a, b, d) from tiles of rows (key, t1, t2, cls, n, sketch, comp); d is the distance of the sketches.
+def candidate_pairs(rows: DataFrame, threshold: float, across: int | None = None) -> DataFrame:
+    """(a, b, big) from tiles of rows (key, t1, t2, cls, n, sketch, comp).
 
-    First pass: all pairs of small tiles, and spanning forests of the others. With ``across``: of large tiles only, every pair of different comp.
+    All pairs of small tiles, and spanning forests of the others. With ``across``: of tiles of more rows than that, every pair of different comp.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,41 +175,39 @@ def candidate_pairs(rows: DataFrame, threshold: float, across: bool) -> DataFram
             n = np.asarray(batch.column(4))
             sketch = fixed(batch.column(5), SKETCH_BYTES, np.uint64)
             comp = np.asarray(batch.column(6))
-            a, b, far = [], [], []
+            a, b = [], []
             sizes = np.diff(edge)
-            if not across:
+            if across is None:
                 first = edge[:-1][sizes == 2]  # most tiles are pairs: all of them at once
                 if len(first):
                     apart = np.bitwise_count(sketch[first] ^ sketch[first + 1]).sum(1, dtype=np.int64)
                     x, y = n[first], n[first + 1]
                     ok = (np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9) & (apart <= (x + y) * (1 - threshold) / (1 + threshold) + 1e-9)
-                    a.append(cls[first[ok]]), b.append(cls[first[ok] + 1]), far.append(apart[ok])
-            for lo, size in zip(edge[:-1][sizes > 2], sizes[sizes > 2], strict=True):
+                    a.append(cls[first[ok]]), b.append(cls[first[ok] + 1])
+            least = 2 if across is None else 1
+            for lo, size in zip(edge[:-1][sizes > least], sizes[sizes > least], strict=True):
                 s, m, c, g = sketch[lo : lo + size], n[lo : lo + size], cls[lo : lo + size], comp[lo : lo + size]
-                if size <= SMALL and not across:
+                if across is None and size <= SMALL:
                     for i in range(size - 1):
-                        apart = _distances(s, i)
-                        ok = np.flatnonzero(may_link(m, i, apart, threshold)[i + 1 :]) + i + 1
-                        a.append(np.full(len(ok), c[i])), b.append(c[ok]), far.append(apart[ok])
-                elif size > SMALL and not across:
+                        ok = np.flatnonzero(may_link(m, i, _distances(s, i), threshold)[i + 1 :]) + i + 1
+                        a.append(np.full(len(ok), c[i])), b.append(c[ok])
+                elif across is None:
                     pairs = np.array(spanning(s, m, threshold), np.int64).reshape(-1, 2)
-                    a.append(c[pairs[:, 0]]), b.append(c[pairs[:, 1]]), far.append(np.bitwise_count(s[pairs[:, 0]] ^ s[pairs[:, 1]]).sum(1, dtype=np.int64))
-                elif size > SMALL and (g != g[0]).any():
+                    a.append(c[pairs[:, 0]]), b.append(c[pairs[:, 1]])
+                elif size > across and (g != g[0]).any():
                     common = np.bincount(np.unique(g, return_inverse=True)[1]).argmax()
                     rare = np.flatnonzero(np.unique(g, return_inverse=True)[1] != common)  # one side of every pair across is outside the commonest component
                     for i in rare:
-                        apart = _distances(s, i)
-                        ok = np.flatnonzero((g != g[i]) & may_link(m, i, apart, threshold))
-                        a.append(np.full(len(ok), c[i])), b.append(c[ok]), far.append(apart[ok])
+                        ok = np.flatnonzero((g != g[i]) & may_link(m, i, _distances(s, i), threshold))
+                        a.append(np.full(len(ok), c[i])), b.append(c[ok])
             x = np.concatenate(a) if a else np.zeros(0, np.int64)
             y = np.concatenate(b) if b else np.zeros(0, np.int64)
-            d = np.concatenate(far) if far else np.zeros(0, np.int64)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), d], 1), axis=0)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.RecordBatch.from_pydict({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(), "d": pairs[:, 2].copy()})
+            yield pa.RecordBatch.from_pydict({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
     laid = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").select("key", "t1", "t2", "cls", "n", "sketch", "comp")
-    return laid.mapInArrow(run, "a bigint, b bigint, d bigint").distinct()
+    return laid.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def set_name(tokens: np.ndarray) -> int:
@@ -237,8 +231,8 @@ def exact_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: Data
     return mine.mapInArrow(run, "cls bigint, tokens array<bigint>")
 
 
-def joined_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes those whose sets have 100 * intersection >= percent * union; both sets are moved to each pair."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of classes those whose sets have 100 * intersection >= percent * union."""
     left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -246,75 +240,6 @@ def joined_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("_i", common).where(F.col("_i") * 100 >= (F.size("x") + F.size("y") - F.col("_i")) * percent).select("a", "b")
 
 
-def linked_in_clusters(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect whatever the pairs (cluster, a, b, d) can link; each cluster's sets are moved once, to one place.
-
-    Pairs are tried in the order of their distances, and those whose ends are connected by then aren't tried.
-    """
-    nodes = pairs.select("cluster", F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
-    tokens = nodes.select("cluster", F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(-1).cast("bigint").alias("d"), "tokens")
-    rows = tokens.unionByName(pairs.select("cluster", "a", "b", "d", F.lit(None).cast("array<bigint>").alias("tokens")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, 1):
-            edge = bounds(batch, 1)
-            a, b, d = (np.asarray(batch.column(i).fill_null(0)) for i in (1, 2, 3))
-            texts = batch.column(4)
-            values, offsets = np.asarray(texts.values), np.asarray(texts.offsets)
-            out: list[tuple[int, int]] = []
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                first = lo + int(np.searchsorted(d[lo:hi], 0))  # the sets stand before the pairs
-                at = {int(c): i for i, c in enumerate(a[lo:first], int(lo))}
-                root = {c: c for c in at}
-
-                def top(v: int, root: dict[int, int] = root) -> int:
-                    while root[v] != v:
-                        root[v] = root[root[v]]
-                        v = root[v]
-                    return v
-
-                for p in range(first, hi):
-                    u, v = top(int(a[p])), top(int(b[p]))
-                    if u == v:
-                        continue
-                    i, j = at[int(a[p])], at[int(b[p])]
-                    x, y = values[offsets[i] : offsets[i + 1]], values[offsets[j] : offsets[j + 1]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if common * 100 >= (len(x) + len(y) - common) * percent:
-                        root[v] = u
-                        out.append((int(a[p]), int(b[p])))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    return rows.repartition("cluster").sortWithinPartitions("cluster", "d", "a").mapInArrow(run, "a bigint, b bigint")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Links between classes, true ones only, that connect all that the candidate pairs (a, b, d) link.
-
-    Pairs that hang together are a cluster. A cluster of at most CLUSTER shingles is verified in one place. In a larger
-    one each class is first compared with its nearest partner, as long as that spares comparisons, and then what is
-    still apart is compared pair by pair.
-    """
-    clusters = connected_components(pairs)
-    weight = clusters.join(sizes, F.col("node") == F.col("cls")).groupBy("comp").agg(F.sum("n").alias("_w"))
-    placed = clusters.join(weight, "comp").select(F.col("node").alias("a"), F.col("comp").alias("cluster"), (F.col("_w") > CLUSTER).alias("heavy"))
-    placed = materialize(pairs.join(placed, "a"), "clusters")
-    found = materialize(linked_in_clusters(placed.where("not heavy").select("cluster", "a", "b", "d"), sets, percent), "cluster-links")
-    rest = placed.where("heavy").select("a", "b", "d")
-    for _ in range(ROUNDS):
-        if rest.isEmpty():
-            return found
-        ends = rest.union(rest.select("b", "a", "d"))
-        nearest = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
-        nearest = materialize(nearest.distinct(), "nearest")
-        found = found.union(materialize(joined_pairs(nearest, sets, percent), "near-links"))
-        groups = materialize(connected_components(found), "near-groups")
-        a, b = groups.select(F.col("node").alias("a"), F.col("comp").alias("_a")), groups.select(F.col("node").alias("b"), F.col("comp").alias("_b"))
-        open_ones = rest.join(nearest, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-        rest = materialize(open_ones.where("_a is null or _b is null or _a <> _b").select("a", "b", "d"), "open-pairs")
-    return found.union(joined_pairs(rest.select("a", "b"), sets, percent))
-
-
 def jaccard_join(
     docs: DataFrame,
     *,
@@ -322,7 +247,8 @@ def jaccard_join(
     text_col: str = "text",
     k: int = 5,
     percent: int = 80,
-    max_blocks: int | None = MAX_BLOCKS,
+    first_blocks: int = FIRST_BLOCKS,
+    exact: bool = True,
     keep_links: bool = False,
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Per row of ``docs``: id, text_hash (xxhash64 of the text), n_shingles, class_id, component_id.
@@ -335,30 +261,46 @@ def jaccard_join(
     which connect every component, but aren't every link of a large group.
     """
     threshold = percent / 100
-    base = materialize(sketches(docs, id_col, text_col, k, threshold, max_blocks), "sketches")
+    base = materialize(sketches(docs, id_col, text_col, k, threshold, first_blocks, exact), "sketches")
     classes = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
     stand = materialize(base.where("sketch is not null").select("cls", "n", "sketch").dropDuplicates(["cls"]), "classes")
     rows = base.select(F.explode("keys").alias("key"), "cls")
     placed = materialize(tiled(rows, "key", "cls", TILE), "tiles")
     described = placed.join(stand, "cls")
-    first = materialize(candidate_pairs(described.withColumn("comp", F.lit(0).cast("long")), threshold, across=False), "pairs")
+    first = materialize(candidate_pairs(described.withColumn("comp", F.lit(0).cast("long")), threshold), "pairs")
     involved = placed.where(f"_n > {SMALL}").select("cls").union(first.select("a")).union(first.select("b")).distinct()
-    wanted = base.where("doc_id is not null and cls is not null").join(involved, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = materialize(exact_sets(docs, id_col, text_col, k, wanted), "sets")
-    if sets.count() > sets.select("cls").distinct().count():  # ids that come with several texts
-        sets = materialize(sets.dropDuplicates(["cls"]), "single-sets")
-    links = materialize(verified(first, sets, stand.select("cls", "n"), percent), "links")
+
+    def representatives(involved: DataFrame) -> DataFrame:
+        """An id for each class of ``involved`` that has one."""
+        return base.where("doc_id is not null and cls is not null").join(involved.toDF("cls"), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+
+    wanted = representatives(involved)
+    sets = materialize(exact_sets(docs, id_col, text_col, k, wanted).dropDuplicates(["cls"]), "sets")
+    links = materialize(verified(first, sets, percent), "links")
     groups = materialize(connected_components(links), "groups")
 
+    def across(rows: DataFrame, above: int, groups: DataFrame) -> DataFrame:
+        """Pairs of buckets that no component holds whole, of classes that aren't connected."""
+        labelled = rows.join(groups, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node")
+        several = labelled.groupBy("key", "t1", "t2").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high")
+        some = labelled.join(several.select("key", "t1", "t2"), ["key", "t1", "t2"], "left_semi").join(stand, "cls")
+        return candidate_pairs(some, threshold, above).join(first, ["a", "b"], "left_anti")
+
     large = placed.where(f"_n > {SMALL}")
     if not large.isEmpty():
-        labelled = large.join(stand, "cls").join(groups, F.col("cls") == F.col("node"), "left")
-        labelled = labelled.withColumn("comp", F.coalesce("comp", "cls"))
-        more = materialize(candidate_pairs(labelled, threshold, across=True).join(first, ["a", "b"], "left_anti"), "more-pairs")
-        extra = materialize(verified(more, sets, stand.select("cls", "n"), percent), "more-links")
+        extra = materialize(verified(across(large, SMALL, groups), sets, percent), "more-links")
         if not extra.isEmpty():
             links = links.union(extra)
             groups = materialize(connected_components(links), "groups")
+    if exact:
+        others = materialize(tiled(base.select(F.explode("more").alias("key"), "cls"), "key", "cls", TILE), "other-tiles")
+        last = materialize(across(others, 1, groups), "other-pairs")
+        if not last.isEmpty():
+            wanted = representatives(last.select("a").union(last.select("b")).distinct())
+            extra = materialize(verified(last, exact_sets(docs, id_col, text_col, k, wanted).dropDuplicates(["cls"]), percent), "other-links")
+            if not extra.isEmpty():
+                links = links.union(extra)
+                groups = materialize(connected_components(links), "groups")
     named = classes.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "class_id", F.coalesce("comp", "cls").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     named = materialize(named.join(smallest, "comp").select("cls", "class_id", "component_id"), "named")
