@@ -41,6 +41,8 @@ FIRST_BLOCKS = 42
 #: Rows of a tile, and up to how many rows a tile's pairs are all verified at once.
 TILE, SMALL = 1024, 12
 SKETCH_BYTES = 128
+#: Words of 64 bits of the wide sketches of the second pass.
+WIDE_WORDS = 256
 #: Classes that a task remembers to have keyed.
 MET = 200_000
 #: Up to this many documents in candidate pairs, their ids (8 bytes each) are sent to all executors; more are joined by a shuffle.
@@ -231,6 +233,34 @@ def exact_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: Data
     return mine.mapInArrow(run, "cls bigint, tokens array<bigint>")
 
 
+def wide_sketches(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
+    """(cls, n, wide) of the documents whose ids are in ``wanted``, and of those without an id: parity sketches of WIDE_WORDS words of 64 bits."""
+    few = wanted.count() <= BROADCAST_IDS
+    ids = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    mine = ids.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").union(ids.where("doc_id is null")).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                sets = [x for x in shingle_sets(whole.slice(lo, 1000).column(0), k) if len(x)]
+                wide = []
+                with np.errstate(over="ignore"):
+                    for tokens in sets:
+                        spots = tv.mix(tokens ^ _U(0x27BB2EE687B0B0FD)) & _U(WIDE_WORDS * 64 - 1)
+                        wide.append(np.packbits((np.bincount(spots.astype(np.int64), minlength=WIDE_WORDS * 64) & 1).astype(np.uint8)).view(np.int64))
+                yield pa.RecordBatch.from_pydict({"cls": pa.array(map(set_name, sets), pa.int64()), "n": pa.array(list(map(len, sets)), pa.int64()), "wide": pa.array(wide, pa.list_(pa.int64()))})
+
+    return mine.mapInArrow(run, "cls bigint, n bigint, wide array<bigint>").dropDuplicates(["cls"])
+
+
+def still_near(pairs: DataFrame, wide: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that the wide sketches don't exclude."""
+    left, right = wide.toDF("a", "n", "x"), wide.toDF("b", "m", "y")
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    most = (F.col("n") + F.col("m")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9
+    return pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of classes those whose sets have 100 * intersection >= percent * union."""
     left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
@@ -296,8 +326,12 @@ def jaccard_join(
         others = materialize(tiled(base.select(F.explode("more").alias("key"), "cls"), "key", "cls", TILE), "other-tiles")
         last = materialize(across(others, 1, groups), "other-pairs")
         if not last.isEmpty():
+            # Long sets fill the folded sketch, so most of these pairs are far apart; wide ones tell before any set is moved.
+            wanted = representatives(last.select("a").union(last.select("b")).distinct())
+            wide = materialize(wide_sketches(docs, id_col, text_col, k, wanted), "wide")
+            last = materialize(still_near(last, wide, threshold), "near-pairs")
             wanted = representatives(last.select("a").union(last.select("b")).distinct())
-            extra = materialize(verified(last, exact_sets(docs, id_col, text_col, k, wanted).dropDuplicates(["cls"]), percent), "other-links")
+            extra = materialize(verified(last, exact_sets(docs, id_col, text_col, k, wanted).dropDuplicates(["cls"]), percent), "other-links") if not last.isEmpty() else last
             if not extra.isEmpty():
                 links = links.union(extra)
                 groups = materialize(connected_components(links), "groups")
