@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +25,39 @@ def nearest_marked(nodes: DataFrame, node: str, parent: str, marked: str, max_de
         above = state.select(F.col("node").alias("up"), F.col("found").alias("f2"), F.col("up").alias("u2"))
         state = state.join(above, "up", "left").select("node", F.coalesce("found", "f2").alias("found"), F.when(F.coalesce("found", "f2").isNull(), F.col("u2")).alias("up"))
         steps += 1
-        state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state.cache()
+        state = cut(state)
         if 1 << steps > max_depth:
             raise EvidenceError("the parents form a cycle")
     return state.select("node", F.col("found").alias("nearest"))
 
 
-def depths(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """(node, root, depth), roots at 0, as one recursive query."""
-    nodes.select(F.col(node).alias("node"), F.col(parent).alias("up")).createOrReplaceTempView("_verdigris_nodes")
-    return nodes.sparkSession.sql(
-        """WITH RECURSIVE walk(node, root, depth) AS (
-             SELECT node, node, 0 FROM _verdigris_nodes WHERE up IS NULL
-             UNION ALL SELECT n.node, w.root, w.depth + 1 FROM _verdigris_nodes n JOIN walk w ON n.up = w.node)
-           SELECT node, root, depth FROM walk"""
-    )
+def depths(nodes: DataFrame, node: str, parent: str, max_depth: int = 1 << 20) -> DataFrame:
+    """(node, root, depth), roots at 0, by pointer doubling: each step joins every node with what its pointer has found already.
+
+    A parent that isn't a node, or a cycle, is refused.
+    """
+    known = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"))
+    lost = known.where("up is not null").join(known.select(F.col("node").alias("up")), "up", "left_anti")
+    if not lost.isEmpty():
+        raise EvidenceError("a parent is not among the nodes")
+    state = known.select("node", F.coalesce("up", "node").alias("top"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), "up")
+    steps = 0
+    while not state.where("up is not null").isEmpty():
+        above = state.select(F.col("node").alias("up"), F.col("top").alias("t2"), F.col("depth").alias("d2"), F.col("up").alias("u2"))
+        state = state.join(above, "up", "left").select("node", F.coalesce("t2", "top").alias("top"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.col("u2").alias("up"))
+        steps += 1
+        state = cut(state)
+        if 1 << steps > max_depth:
+            raise EvidenceError("the parents form a cycle")
+    return state.select("node", F.col("top").alias("root"), "depth")
+
+
+def cut(state: DataFrame) -> DataFrame:
+    """The rows written to the shared folder that the session names and read back; where it names none, as in notebooks, they are kept in memory."""
+    spark = state.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        return state.checkpoint() if spark.sparkContext.getCheckpointDir() else state.persist()
+    path = f"{folder.rstrip('/')}/verdigris-graph-{uuid.uuid4().hex}"
+    state.write.parquet(path)
+    return spark.read.schema(state.schema).parquet(path)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shapes import canonical_json, sha256
+from ..functions.shapes import canonical_json, sha256, strict_json
 from ..operators import graphs
 from ..schemas import EvidenceError
 
@@ -23,6 +25,64 @@ SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,sta
 SCHEMA = f"resourceSpans array<struct<scopeSpans:array<struct<scope:struct<name:string,version:string>,spans:array<{SPAN}>>>>>"
 
 
+KINDS = ("stringValue", "boolValue", "intValue", "doubleValue", "arrayValue", "kvlistValue", "bytesValue")
+
+
+def value_problem(value: object) -> str | None:
+    """Why an attribute's value isn't one of the seven kinds; None if it is."""
+    if not isinstance(value, dict) or len(value) != 1 or next(iter(value)) not in KINDS:
+        return "a value must be exactly one of the seven kinds"
+    kind, given = next(iter(value.items()))
+    if kind == "stringValue" and not isinstance(given, str) or kind == "boolValue" and not isinstance(given, bool):
+        return f"{kind} is of another type"
+    if kind == "intValue" and (isinstance(given, bool) or not isinstance(given, (int, str)) or not re.fullmatch("0|-?[1-9][0-9]*", str(given))):
+        return "intValue must be a whole number in plain digits"
+    if kind == "doubleValue" and (isinstance(given, bool) or not isinstance(given, (int, float)) or given < 0):
+        return "doubleValue must be a number, 0 or more"
+    return None
+
+
+def document_problems(raw: bytes) -> list[str]:
+    """What is wrong with the form of one export: its JSON, empty or missing arrays, values of attributes."""
+    try:
+        root = strict_json(raw, "the export")
+    except ValueError as error:
+        return [str(error)]
+    found: list[str] = []
+
+    def several(item: object, name: str, at: str) -> list:
+        inner = item.get(name) if isinstance(item, dict) else None
+        if not isinstance(inner, list) or not inner or not all(isinstance(x, dict) for x in inner):
+            found.append(f"{at}{name} must be a list of objects that isn't empty")
+            return []
+        return inner
+
+    for i, resource in enumerate(several(root, "resourceSpans", "")):
+        for j, scope in enumerate(several(resource, "scopeSpans", f"resourceSpans[{i}].")):
+            place = f"resourceSpans[{i}].scopeSpans[{j}]."
+            for k, span in enumerate(several(scope, "spans", place)):
+                given = span.get("attributes", [])
+                if not isinstance(given, list) or not all(isinstance(a, dict) and isinstance(a.get("key"), str) and a["key"] for a in given):
+                    found.append(f"{place}spans[{k}].attributes must be a list of keys and values")
+                    continue
+                keys = [a["key"] for a in given]
+                if len(set(keys)) < len(keys):
+                    found.append(f"{place}spans[{k}]: repeated attribute key")
+                found += [f"{place}spans[{k}] {a['key']}: {p}" for a in given if (p := value_problem(a.get("value")))]
+    return found
+
+
+def file_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(file, message) of every export whose form isn't sound, each file decoded strictly where it is read; 20 messages of a file at most."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(p, m) for p, c in zip(batch["path"], batch["content"], strict=True) for m in document_problems(bytes(c))[:20]]
+            yield pd.DataFrame(rows, columns=["file", "message"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, message string")
+
+
 def flatten(traces: DataFrame) -> DataFrame:
     """(scope, span) of every span of resourceSpans[].scopeSpans[].spans[]."""
     scopes = traces.select(F.explode("resourceSpans").alias("r")).select(F.explode("r.scopeSpans").alias("s"))
@@ -105,7 +165,13 @@ class Traces:
 
 
 def inspect(spark: SparkSession, path: str) -> Traces:
-    """Reads a file or folder of OTLP/JSON; what isn't sound is refused with every reason found (20 spans at most are named)."""
+    """Reads a file or folder of OTLP/JSON; what isn't sound is refused with every reason found (20 of a kind at most are named).
+
+    The tasks, spans and edges of the result stay in Spark. Its inventory has their counts and their digests; the digest
+    of the spans streams them through the driver one by one.
+    """
+    if broken := [f"{r['file'].rpartition('/')[2]}: {r['message']}" for r in file_problems(spark, path).limit(20).collect()]:
+        raise EvidenceError(sorted(broken))
     table = spans(spark.read.schema(SCHEMA).option("multiLine", True).json(path)).persist()
     wrong = [f"span {r['span_id']}: {r['problem']}" for r in table.where("problem is not null").limit(20).collect()]
     twice = table.groupBy("trace_id", "span_id").count().where("count > 1")
