@@ -1,20 +1,24 @@
-"""Command line: evaluate, frontier, template, convert, capabilities. Exit 0 SCALE or ADOPT, 3 ASSIST or HOLD, 4 STOP (with --ci), 2 INCOMPLETE."""
+"""Command line: evaluate, frontier, template, convert, judge, analyse, ci, propositions, capabilities. Exit 0 SCALE or ADOPT, 3 ASSIST or HOLD, 4 STOP (with --ci), 2 INCOMPLETE."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
+import os
 import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from . import report, ship
+from . import ci, report, ship
 from .operators.gates import DEFAULT_CHECKS
+from .plans import propositions
 from .plans.assurance import evaluate
 from .plans.frontier import FrontierDecision, evaluate_frontier
 from .schemas import Decision, EvidenceError
-from .sources import contracts, files, frontier_files, otlp, session_tree, sessions
+from .sources import contracts, files, frontier_files, judge, otlp, session_tree, sessions
 
 EXITS = {Decision.SCALE: 0, Decision.ASSIST: 3, Decision.STOP: 4, Decision.INCOMPLETE: 2}
 KINDS = ("session", "session-tree", "otlp")
@@ -41,6 +45,17 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--out", required=True)
         if verb == "convert":
             c.add_argument("--contract", required=True)
+    j = verbs.add_parser("judge", help="outcomes of a task file by a judge given as module:function")
+    j.add_argument("tasks")
+    j.add_argument("--rubric", required=True)
+    j.add_argument("--judge", required=True, help="module:function that takes (output, context) and returns scores by criterion")
+    j.add_argument("--out", required=True)
+    n = verbs.add_parser("analyse", help="what an analyst is told of a bundle's case")
+    n.add_argument("bundle")
+    k = verbs.add_parser("ci", help="a run whose inputs are variables INPUT_..., for workflows")
+    k.add_argument("--report", required=True)
+    k.add_argument("--outputs")
+    verbs.add_parser("propositions", help="what label error does to metrics")
     verbs.add_parser("capabilities")
     return top
 
@@ -87,6 +102,38 @@ def _convert(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _judge(spark: SparkSession, a: argparse.Namespace) -> int:
+    module, _, name = a.judge.partition(":")
+    found = getattr(importlib.import_module(module), name, None)
+    if not callable(found):
+        raise EvidenceError(f"{a.judge} is not a function")
+    outcomes = judge.outcomes_of(judge.read_tasks(spark, a.tasks), judge.read_rubric(spark, a.rubric), found).persist()
+    judge.write_outcomes(outcomes, a.out)
+    counts = outcomes.agg(F.count("*"), F.count_if("acceptable"), F.count_if("judge_error")).first()
+    outcomes.unpersist()
+    print(f"{counts[0]} tasks, {counts[1]} acceptable, {counts[2]} not judged")
+    return 0
+
+
+def _analyse(spark: SparkSession, a: argparse.Namespace) -> int:
+    print(report.analyst_context(evaluate(files.json_bundle(spark, a.bundle))), end="")
+    return 0
+
+
+def _ci(spark: SparkSession, a: argparse.Namespace) -> int:
+    result = ci.run(spark, ci.Inputs.of(os.environ), a.report)
+    if a.outputs:
+        ci.write_outputs(result, a.outputs)
+    print(result.decision)
+    return result.exit_code
+
+
+def _propositions(spark: SparkSession, a: argparse.Namespace) -> int:
+    found = propositions.label_report(spark)
+    print(found.text(), end="")
+    return 0 if found.holds else 1
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     if a.verb == "capabilities":
@@ -94,7 +141,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     spark = ship(spark or SparkSession.builder.appName("verdigris").getOrCreate())
     try:
-        return {"evaluate": _evaluate, "frontier": _frontier}.get(a.verb, _convert)(spark, a)
+        return {"evaluate": _evaluate, "frontier": _frontier, "judge": _judge, "analyse": _analyse, "ci": _ci, "propositions": _propositions}.get(a.verb, _convert)(spark, a)
     except (EvidenceError, OSError) as error:
         print(f"INCOMPLETE: {error}", file=sys.stderr)
         return 2

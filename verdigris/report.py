@@ -82,3 +82,24 @@ def frontier_svg(case: FrontierCase, width: int = 640, height: int = 400) -> str
         fill = "#1b6" if a.arm_id == case.selected_arm else "#fff" if a.dominated else "#469"
         body.append(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="6" fill="{fill}" stroke="#234"/><text x="{x + 9:.1f}" y="{y - 8:.1f}">{escape(a.arm_id)} {dollars(a.mean_cost_usd)}, {a.acceptable_rate:.1%}</text>')
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" font-family="sans-serif" font-size="12">' + "".join(body) + "</svg>\n"
+
+
+def analyst_context(case, failing: int = 5) -> str:
+    """What an analyst (a person or a model) is told of a case: decision, metrics, failed gates, missing coverage, and the failing tasks that cost most."""
+    from pyspark.sql import functions as F
+
+    lines = [f"Decision: {case.decision}", "", "Metrics", *[f"  {k}: {v:.6g}" if isinstance(v, float) else f"  {k}: {v}" for k, v in sorted(case.metrics.items())]]
+    if broken := [r.message for r in case.results if r.status == "FAIL"]:
+        lines += ["", "Failed gates", *[f"  {m}" for m in broken]]
+    if case.missing_coverage:
+        lines += ["", "Missing coverage", *[f"  {c}" for c in case.missing_coverage]]
+    worst = case.tasks.where(~F.col("acceptable")).orderBy(F.desc("effective_cost_usd"), "task_id").limit(failing).collect()
+    if worst:
+        lines += ["", "Failing tasks, dearest first"]
+        lines += [f"  {t['task_id']}: ${t['effective_cost_usd']:.4f} (trace ${t['trace_cost_usd']:.4f}, human ${t['human_cost_usd']:.4f}, remediation ${t['remediation_cost_usd']:.4f}, incident ${t['incident_loss_usd']:.4f})" for t in worst]
+    return "\n".join(lines) + "\n"
+
+
+def write_csv(table, path: str, *order: str) -> None:
+    """A study's table, of a size for reading, as one CSV file with a header, in the given order."""
+    table.orderBy(*order).toPandas().to_csv(path, index=False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -18,6 +19,34 @@ ECONOMICS = ("business_value_usd", "failure_human_minutes", "failure_remediation
 Judge = Callable[[str, str], dict[str, float]]
 
 
+class Rejected(Exception):
+    """A request that no retry mends, such as one with a wrong key: it ends the run, because it says nothing of a task."""
+
+
+class Busy(Exception):
+    """A request that may succeed later."""
+
+
+@dataclass(frozen=True)
+class Patience:
+    """How often a request is tried, how long the pauses grow, and how many tasks a second one judge takes."""
+
+    attempts: int = 3
+    pause_s: float = 1.0
+    per_second: float = 5.0
+
+    def call(self, request: Callable[[], dict[str, float]], sleep: Callable[[float], None] = time.sleep) -> dict[str, float]:
+        """The answer of the first attempt that gives one; the last failure if none does. ``Rejected`` isn't tried again."""
+        for attempt in range(self.attempts):
+            try:
+                return request()
+            except (Busy, TimeoutError, ConnectionError):
+                if attempt == self.attempts - 1:
+                    raise
+                sleep(self.pause_s * 2**attempt)
+        raise ValueError("a request needs one attempt at least")
+
+
 @dataclass(frozen=True)
 class Rubric:
     rubric_id: str
@@ -60,26 +89,51 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("cases").alias("c")).select("c.task_id", "c.category", F.col("c.expected_acceptable").alias("expected"), "c.context", "c.output")
 
 
-def judged(tasks: DataFrame, judge: Judge) -> DataFrame:
-    """(task_id, criterion, score); a task that the judge fails on has one row with a null criterion. Tasks are judged where their rows are."""
+def selected_cases(cases: DataFrame, only: tuple[str, ...] = (), first: int | None = None) -> DataFrame:
+    """Of an evaluation set the cases that are named, or its first so many by id; a name that isn't there is refused."""
+    if only and (lost := sorted(set(only) - {r[0] for r in cases.where(F.col("task_id").isin(*only)).select("task_id").distinct().collect()})):
+        raise EvidenceError(f"no such cases: {', '.join(lost)}")
+    chosen = cases.where(F.col("task_id").isin(*only)) if only else cases
+    if first is not None and first < 1:
+        raise EvidenceError("the number of cases must be 1 or more")
+    return chosen.orderBy("task_id").limit(first) if first else chosen
+
+
+def judged(tasks: DataFrame, judge: Judge, fallback: Judge | None = None, patience: Patience = Patience(per_second=0)) -> DataFrame:
+    """(task_id, criterion, score); a task that the judge and its fallback fail on has one row with a null criterion.
+
+    Tasks are judged where their rows are, at most ``patience.per_second`` of them a second in each task of Spark (0 is
+    no limit). A rejected request ends the run.
+    """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        begun = 0.0
         for batch in batches:
             rows = []
             for task, output, context in zip(batch["task_id"], batch["output"], batch["context"], strict=True):
-                try:
-                    rows += [(task, k, float(v)) for k, v in judge(output, context).items()]
-                except Exception:
-                    rows.append((task, None, None))
+                if patience.per_second:
+                    time.sleep(max(0.0, begun + 1 / patience.per_second - time.monotonic()))
+                    begun = time.monotonic()
+                scores = None
+                for one in (judge, fallback):
+                    if one is None or scores is not None:
+                        continue
+                    try:
+                        scores = [(task, k, float(v)) for k, v in patience.call(lambda one=one: one(output, context)).items()]
+                    except Rejected:
+                        raise
+                    except Exception:
+                        scores = None
+                rows += scores if scores is not None else [(task, None, None)]
             yield pd.DataFrame(rows, columns=["task_id", "criterion", "score"])
 
     return tasks.mapInPandas(run, "task_id string, criterion string, score double")
 
 
-def outcomes_of(tasks: DataFrame, rubric: Rubric, judge: Judge) -> DataFrame:
+def outcomes_of(tasks: DataFrame, rubric: Rubric, judge: Judge, **options) -> DataFrame:
     """Outcomes of judged tasks; a failed call is an unacceptable outcome without costs, marked ``judge_error``."""
     weights = tasks.sparkSession.createDataFrame(list(rubric.weights.items()), "criterion string, weight double")
-    return labels.outcome_rows(labels.rubric_verdict(judged(tasks, judge), weights, rubric.threshold), rubric.economics)
+    return labels.outcome_rows(labels.rubric_verdict(judged(tasks, judge, **options), weights, rubric.threshold), rubric.economics)
 
 
 def write_outcomes(outcomes: DataFrame, folder: str) -> None:
