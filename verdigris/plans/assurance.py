@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from ..operators import gates, rollup, validate
 from ..functions import money
 from ..operators.gates import DEFAULT_CHECKS, Check, View
-from ..schemas import Coverage, Decision, Evidence, EvidenceError, Mode, Status
+from ..schemas import RESULTS, Coverage, Decision, Evidence, EvidenceError, Mode, Status
 from . import digest
 
 REQUIRED = frozenset(Coverage)
+#: Rows of one check that a case carries; ``finding_counts`` has how many there are, and ``findings`` all of them, as a frame.
+FINDINGS = 1000
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,8 @@ class Case:
     evidence_digest: str
     contract_digest: str
     tasks: DataFrame = field(compare=False, repr=False)
+    finding_counts: dict[str, int] = field(default_factory=dict, compare=False)
+    findings: DataFrame | None = field(default=None, compare=False, repr=False)
 
     def __getattr__(self, name: str):
         metrics = self.__dict__.get("metrics", {})
@@ -81,12 +85,19 @@ class Engine:
             covered = frozenset(x for c in self.checks if c.mode is Mode.GATE for x in c.covers)
             missing = sorted(map(str, self.required - covered))
             results: list[CheckRow] = []
+            routes: set[str] = set()
+            counts: dict[str, int] = {}
+            findings = None
             if not missing:
                 view = View(measured, tasks, money.priced_events(evidence.events, evidence.rates), evidence.edges, evidence.baseline, evidence.policy)
                 for check in self.checks:
-                    results += self._run(check, view)
+                    rows, taken, counts[check.id] = self._run(check, view)
+                    results += rows
+                    routes |= taken
+                lazy = View(measured, rollup.task_rollup(evidence.events, evidence.outcomes, evidence.rates, evidence.policy.human_hourly_cost_usd), view.events, evidence.edges, evidence.baseline, evidence.policy)
+                findings = all_results(self.checks, lazy) if max(counts.values(), default=0) > FINDINGS else view.spark.createDataFrame([(r.check_id, r.status, r.message, r.on_failure, r.task_id) for r in results], RESULTS)
             return Case(
-                decision=reduce_decision(results, bool(missing)),
+                decision=reduce_decision(routes, bool(missing)),
                 metrics=measured,
                 results=tuple(results),
                 checks=tuple(c.manifest_id for c in self.checks),
@@ -96,17 +107,25 @@ class Engine:
                 evidence_digest=digest.evidence_digest(evidence) if with_digest else "",
                 contract_digest=digest.contract_digest(self.checks, self.required),
                 tasks=rollup.task_economics(tasks),
+                finding_counts=counts,
+                findings=findings,
             )
         finally:
             tasks.unpersist()
 
     @staticmethod
-    def _run(check: Check, view: View) -> list[CheckRow]:
+    def _run(check: Check, view: View) -> tuple[list[CheckRow], set[str], int]:
+        """(the first rows of a check, the routes of those that failed, how many rows there are)"""
         try:
-            rows = [CheckRow(**r.asDict()) for r in check.run(view).collect()]
+            found = check.run(view)
+            head = [CheckRow(**r.asDict()) for r in found.limit(FINDINGS + 1).collect()]
+            kinds, count = head, len(head)
+            if count > FINDINGS:
+                grouped = found.groupBy("check_id", "status", "on_failure").count().collect()  # a few rows: one of each kind
+                kinds, count = [CheckRow(r["check_id"], r["status"], "", r["on_failure"]) for r in grouped], sum(r["count"] for r in grouped)
         except Exception as error:
             raise EvidenceError(f"{check.id}: the check failed: {type(error).__name__}: {error}") from error
-        for r in rows:
+        for r in kinds:
             if r.check_id != check.id:
                 raise EvidenceError(f"{check.id}: a result names {r.check_id}")
             if check.mode is Mode.DIAGNOSTIC and (r.status == Status.FAIL or r.on_failure is not None):
@@ -115,13 +134,25 @@ class Engine:
                 raise EvidenceError(f"{check.id}: routes to {r.on_failure}, declared {check.route}")
             if r.status != Status.FAIL and r.on_failure is not None:
                 raise EvidenceError(f"{check.id}: a result that holds has a consequence")
-        return rows
+        return head[:FINDINGS], routes_of(kinds), count
 
 
-def reduce_decision(results: list[CheckRow], missing: bool) -> Decision:
+def all_results(checks: tuple[Check, ...], view: View) -> DataFrame:
+    """The rows of all checks, lazily."""
+    out = None
+    for check in checks:
+        out = check.run(view) if out is None else out.unionByName(check.run(view))
+    return out if out is not None else view.spark.createDataFrame([], RESULTS)
+
+
+def routes_of(results: list[CheckRow]) -> set[str]:
+    return {r.on_failure for r in results if r.status == Status.FAIL}
+
+
+def reduce_decision(routes: set[str], missing: bool = False) -> Decision:
+    """STOP if a failed gate routes there, ASSIST if any failed, SCALE if none; INCOMPLETE without the coverage."""
     if missing:
         return Decision.INCOMPLETE
-    routes = {r.on_failure for r in results if r.status == Status.FAIL}
     return Decision.STOP if Decision.STOP in routes else Decision.ASSIST if routes else Decision.SCALE
 
 

@@ -136,6 +136,26 @@ def paired_counts(pairs: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def arm_summary(tasks: DataFrame, arm: str = "arm_id", ok: str = "acceptable", cost: str = "effective_cost_usd") -> DataFrame:
+    """(arm, tasks, acceptable_rate, mean_cost_usd) from one row per arm and task; costs are summed as decimals."""
+    n = F.count("*")
+    return tasks.groupBy(arm).agg(n.alias("tasks"), (F.count_if(ok) / n).alias("acceptable_rate"), (F.sum(F.col(cost).cast("decimal(28,6)")).cast("double") / n).alias("mean_cost_usd"))
+
+
+def ineligible(bounds: DataFrame, max_breakage_rate: float, min_cost_reduction_rate: float, decision: str | None = None) -> DataFrame:
+    """Adds ``reasons``: why an arm can't be adopted, from its breakage_upper and cost_reduction_lower (and decision); empty if it can."""
+    upper, lower = F.col("breakage_upper"), F.col("cost_reduction_lower")
+    found = [F.when(F.coalesce(upper, F.lit(1.0)) > max_breakage_rate, "breakage"), F.when(~F.coalesce(lower >= min_cost_reduction_rate, F.lit(False)), "cost reduction")]
+    if decision:
+        found.append(F.when(~F.col(decision).eqNullSafe(F.lit(str(Decision.SCALE))), "decision"))
+    return bounds.withColumn("reasons", F.array_compact(F.array(*found)))
+
+
+def select_arm(candidates: DataFrame) -> DataFrame:
+    """The eligible arm that costs least; of those that cost the same the more acceptable one, then by its name. No row: HOLD."""
+    return candidates.where(F.size("reasons") == 0).orderBy("mean_cost_usd", F.desc("acceptable_rate"), "arm_id").limit(1)
+
+
 def rate_drift(rates: DataFrame) -> DataFrame:
     """Models that arms price differently, from (arm_id, model, input_per_million_usd, output_per_million_usd)."""
     return rates.groupBy("model").agg(F.count_distinct(F.struct("input_per_million_usd", "output_per_million_usd")).alias("cards")).where("cards > 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import money, shapes, stats
 from .operators import gates, graphs, labels, rollup, sequences, validate
-from .plans import experiments, frontier
+from .plans import assurance, experiments, frontier, propositions
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,32 +93,45 @@ GATE_ROWS = """g AS (SELECT unnest([{'gate': 'acceptable-rate', 'failed': accept
   {'gate': 'counterfactual', 'failed': incremental_net_value_vs_baseline_usd < 0.0, 'route': 'STOP'}, {'gate': 'runtime-caps', 'failed': (SELECT count(*) FROM tk WHERE calls > 8 OR CAST(trace AS DOUBLE) / 1000000 > 0.15) > 0, 'route': 'ASSIST'}], recursive := true) FROM m)"""
 
 
-def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = tables.POLICY
-    breached = gates.cap_breaches(_rollup(spark, sf_dir), p.max_calls_per_task, p.max_trace_cost_per_task_usd).agg(F.count("*").alias("breaches"))
-    row = _metrics(spark, sf_dir).crossJoin(breached)  # one row each
-    tests = (
-        ("acceptable-rate", F.col("acceptable_rate") < p.min_acceptable_rate, "ASSIST"),
-        ("unit-economics", F.col("cost_per_acceptable_outcome_usd") > p.max_cost_per_acceptable_outcome_usd, "ASSIST"),
-        ("tail-cost", F.col("p95_task_cost_usd") > p.max_p95_task_cost_usd, "ASSIST"),
-        ("net-value", F.col("expected_net_value_per_attempt_usd") < p.min_expected_net_value_per_attempt_usd, "STOP"),
-        ("counterfactual", F.col("incremental_net_value_vs_baseline_usd") < p.min_incremental_net_value_vs_baseline_usd, "STOP"),
-        ("runtime-caps", F.col("breaches") > 0, "ASSIST"),
-    )
-    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), t.alias("failed"), F.lit(r).alias("route")) for n, t, r in tests])).alias("g")).select("g.*")
+def _view(spark: SparkSession, sf_dir: str) -> gates.View:
+    """What the checks see; the tasks are summed once and written, because every check and the metrics read them."""
+    tasks = graphs.cut(_rollup(spark, sf_dir))
+    measured = rollup.metrics(tasks, tables.BASELINE).first().asDict()
+    return gates.View(measured, tasks, _priced(spark, sf_dir), None, tables.BASELINE, tables.POLICY)
+
+
+def _gate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all gates, of which the tasks above a cap may be many."""
+    only = tuple(c for c in gates.DEFAULT_CHECKS if c.mode is gates.Mode.GATE)
+    return assurance.all_results(only, _view(spark, sf_dir))
 
 
 @registered(f"WITH {METRICS}, {GATE_ROWS} SELECT gate, failed, CASE WHEN failed THEN route END AS on_failure FROM g")
 def gate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1-C6."""
-    return _gates(spark, sf_dir).select("gate", "failed", F.when(F.col("failed"), F.col("route")).alias("on_failure"))
+    """Each gate's function, on one view."""
+    failed = F.bool_or(F.col("status") == "FAIL")
+    return _gate_rows(spark, sf_dir).groupBy(F.substring_index("check_id", ".", -1).alias("gate")).agg(failed.alias("failed"), F.max("on_failure").alias("on_failure"))
 
 
 @registered(f"WITH {METRICS}, {GATE_ROWS} SELECT CASE WHEN bool_or(failed AND route = 'STOP') THEN 'STOP' WHEN bool_or(failed) THEN 'ASSIST' ELSE 'SCALE' END AS decision, count(*) FILTER (failed) AS failed_gates FROM g")
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reduction of the gates to a decision."""
-    found = _gates(spark, sf_dir).agg(F.bool_or(F.col("failed") & (F.col("route") == "STOP")).alias("stop"), F.bool_or("failed").alias("any"), F.count_if("failed").alias("failed_gates"))
-    return found.select(F.when(F.col("stop"), "STOP").when(F.col("any"), "ASSIST").otherwise("SCALE").alias("decision"), "failed_gates")
+    """The reduction of the gates' routes to a decision."""
+    failed = _gate_rows(spark, sf_dir).where("status = 'FAIL'").select("check_id", "on_failure").distinct().collect()  # one row a gate at most
+    decision = assurance.reduce_decision({r["on_failure"] for r in failed})
+    return spark.createDataFrame([(str(decision), len({r["check_id"] for r in failed}))], "decision string, failed_gates bigint")
+
+
+@registered(
+    f"""WITH {EVENTS}, s AS (SELECT *, CASE WHEN name = lag(name) OVER w AND json_shape = lag(json_shape) OVER w THEN 0 ELSE 1 END AS fresh FROM (SELECT l_orderkey AS task, l_linestatus AS name, l_linenumber % 2 AS json_shape, * FROM lineitem WHERE l_returnflag <> 'N') WINDOW w AS (PARTITION BY task ORDER BY {SEQ})),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY task ORDER BY {SEQ} ROWS UNBOUNDED PRECEDING) AS island FROM s)
+SELECT task AS task_id, count(*) AS runs FROM (SELECT task, island FROM i GROUP BY task, island HAVING count(*) >= 3) GROUP BY task"""
+)
+def repeated_tool_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagnostic of repeated tool calls of one shape, from arguments as JSON."""
+    made = tables.events(spark, sf_dir).withColumn("timestamp", F.col("_seq")).withColumn("event_id", F.to_json("_seq"))
+    shaped = made.withColumn("arguments", F.when(F.col("_seq.l_linenumber") % 2 == 0, F.lit('{"a": 1}')).otherwise(F.lit('{"b": ["x"]}')))
+    view = gates.View({}, made, shaped, None, tables.BASELINE, tables.POLICY)
+    return gates.repeated_tool_shape(view).groupBy(F.col("task_id").cast("bigint").alias("task_id")).agg(F.count("*").alias("runs"))
 
 
 @registered(
@@ -130,10 +143,10 @@ def runtime_cap_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gates.cap_breaches(_rollup(spark, sf_dir), tables.POLICY.max_calls_per_task, tables.POLICY.max_trace_cost_per_task_usd))
 
 
-@registered("SELECT DISTINCT l_orderkey AS task_id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+@registered("SELECT DISTINCT l_orderkey AS task_id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def missing_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks with events and no outcome."""
-    return rollup.unmatched(tables.events(spark, sf_dir), tables.outcomes(spark, sf_dir))[0]
+    """Tasks with events and no outcome, were those of partial orders lost."""
+    return rollup.unmatched(tables.events(spark, sf_dir), tables.outcomes(spark, sf_dir).where("acceptable"))[0]
 
 
 @registered("SELECT o_orderkey AS task_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -193,9 +206,7 @@ def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _arms(spark, sf_dir).groupBy("arm_id").agg(
-        F.count("*").alias("tasks"), (F.count_if("c_ok") / F.count("*")).alias("acceptable_rate"), (F.sum(F.col("c_usd").cast("decimal(28,6)")).cast("double") / F.count("*")).alias("mean_cost_usd")
-    )
+    return frontier.arm_summary(_arms(spark, sf_dir), ok="c_ok", cost="c_usd")
 
 
 @registered(f"WITH {ARMS} SELECT arm_id, count(*) AS paired_tasks, count(*) FILTER (r_ok AND NOT c_ok) AS harmful_regressions, count(*) FILTER (NOT r_ok AND c_ok) AS beneficial_changes, count(*) FILTER (r_ok) AS reference_acceptable_tasks, count(*) FILTER (c_ok) AS candidate_acceptable_tasks FROM ap WHERE arm_id <> 'reference' GROUP BY arm_id")
@@ -216,10 +227,29 @@ def pareto_dominated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.dominated(_arm_summary(spark, sf_dir)).select("arm_id")
 
 
-@registered(f"WITH {ARMS} SELECT arm_id, round(mean_cost_usd, 6) AS mean_cost_usd FROM asum WHERE arm_id <> 'reference' ORDER BY asum.mean_cost_usd, acceptable_rate DESC, arm_id LIMIT 1")
+ELIGIBLE = f"""{ARMS}, bo AS (SELECT arm_id, count(*) FILTER (r_ok AND NOT c_ok) / count(*) AS breakage_upper, 1 - CAST(sum(CAST(c_usd AS DECIMAL(28,6))) AS DOUBLE) / CAST(sum(CAST(r_usd AS DECIMAL(28,6))) AS DOUBLE) AS cost_reduction_lower FROM ap WHERE arm_id <> 'reference' GROUP BY arm_id)"""
+
+
+def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakage and cost reduction of the candidates as they are, where a plan has their confidence bounds."""
+    pairs = _arms(spark, sf_dir).where("arm_id <> 'reference'")
+    spent = lambda c: F.sum(F.col(c).cast("decimal(28,6)")).cast("double")
+    costs = pairs.groupBy("arm_id").agg((1 - spent("c_usd") / spent("r_usd")).alias("cost_reduction_lower"))
+    return frontier.paired_counts(pairs, "arm_id").select("arm_id", (F.col("harmful_regressions") / F.col("paired_tasks")).alias("breakage_upper")).join(costs, "arm_id")
+
+
+@registered(f"WITH {ELIGIBLE} SELECT arm_id, round(breakage_upper, 6) AS breakage_upper, round(cost_reduction_lower, 6) AS cost_reduction_lower, breakage_upper > 0.2 AS breaks, NOT cost_reduction_lower >= 0.3 AS saves_too_little FROM bo")
+def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why arms can't be adopted."""
+    found = frontier.ineligible(_bounds(spark, sf_dir), 0.2, 0.3)
+    return rounded(found.select("arm_id", "breakage_upper", "cost_reduction_lower", F.array_contains("reasons", "breakage").alias("breaks"), F.array_contains("reasons", "cost reduction").alias("saves_too_little")))
+
+
+@registered(f"WITH {ELIGIBLE} SELECT arm_id, round(mean_cost_usd, 6) AS mean_cost_usd FROM asum JOIN bo USING (arm_id) WHERE breakage_upper <= 0.2 AND cost_reduction_lower >= 0.3 ORDER BY asum.mean_cost_usd, acceptable_rate DESC, arm_id LIMIT 1")
 def select_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest candidate."""
-    return rounded(_arm_summary(spark, sf_dir).where("arm_id <> 'reference'").orderBy("mean_cost_usd", F.desc("acceptable_rate"), "arm_id").limit(1).select("arm_id", "mean_cost_usd"))
+    """The cheapest candidate that nothing speaks against."""
+    candidates = frontier.ineligible(_bounds(spark, sf_dir), 0.2, 0.3).join(_arm_summary(spark, sf_dir), "arm_id")
+    return rounded(frontier.select_arm(candidates).select("arm_id", "mean_cost_usd"))
 
 
 @registered("SELECT l_linestatus AS model, count(DISTINCT l_tax) AS cards FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_tax) > 1")
@@ -229,26 +259,33 @@ def rate_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.rate_drift(cards)
 
 
-DRAWS = 200
+#: A plan draws thousands of times at its adjusted level; that many draws of every task are too many rows for the SQL they are held against.
+DRAWS, LEVEL = 200, 0.1
 
 
 @registered(
     f"""WITH {ARMS}, dr AS (SELECT arm_id, r_usd, c_usd, b.b AS draw, {stats.poisson_weight("task_id", "b.b")} AS w FROM ap CROSS JOIN range(1, {DRAWS + 1}) b(b) WHERE arm_id <> 'reference'),
 e AS (SELECT arm_id, draw, CAST(sum(CAST(r_usd * w AS DECIMAL(28,6))) AS DOUBLE) AS r, CAST(sum(CAST(c_usd * w AS DECIMAL(28,6))) AS DOUBLE) AS c FROM dr GROUP BY ALL)
-SELECT arm_id, round(quantile_disc((r - c) / r, 0.1), 5) AS lower_bound FROM e GROUP BY arm_id"""
+SELECT arm_id, round(quantile_disc((r - c) / r, {LEVEL}), 5) AS lower_bound FROM e GROUP BY arm_id"""
 )
 def bootstrap_lcb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X3 distributed, T4: the lower bound of the cost reduction."""
     pairs = _arms(spark, sf_dir).where("arm_id <> 'reference'").select("arm_id", F.col("task_id").alias("task_key"), F.col("r_usd").alias("reference_usd"), F.col("c_usd").alias("candidate_usd"))
     draws = stats.distributed_bootstrap(pairs, DRAWS, keys=("arm_id",))
-    return draws.groupBy("arm_id").agg(F.round(F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY reduction)"), 5).alias("lower_bound"))
+    return draws.groupBy("arm_id").agg(F.round(F.expr(f"percentile_disc({LEVEL}) WITHIN GROUP (ORDER BY reduction)"), 5).alias("lower_bound"))
 
 
-@registered()
+@registered(
+    f"""WITH RECURSIVE {ARMS}, k AS (SELECT arm_id, count(*) AS n, count(*) FILTER (r_ok AND NOT c_ok) AS x FROM ap WHERE arm_id <> 'reference' GROUP BY arm_id),
+half(arm_id, n, x, step, low, high) AS (SELECT arm_id, n, x, 0, CAST(x / n AS DOUBLE), CAST(1 AS DOUBLE) FROM k WHERE x < n
+UNION ALL SELECT arm_id, n, x, step + 1, CASE WHEN tail > 0.05 / 6 THEN mid ELSE low END, CASE WHEN tail > 0.05 / 6 THEN high ELSE mid END FROM (
+  SELECT *, (low + high) / 2 AS mid, list_sum(list_transform(range(x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((low + high) / 2) + (n - i) * ln(1 - (low + high) / 2)))) AS tail FROM half WHERE step < 50))
+SELECT arm_id, round(coalesce((low + high) / 2, 1), 8) AS breakage_upper FROM k LEFT JOIN (SELECT * FROM half WHERE step = 50) USING (arm_id)"""
+)
 def clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact upper bounds of the candidates' breakage."""
     counts = paired_regressions(spark, sf_dir)
-    return counts.select("arm_id", F.round(stats.clopper_pearson(F.col("harmful_regressions"), F.col("paired_tasks"), 0.05 / 6), 9).alias("breakage_upper"))
+    return counts.select("arm_id", F.round(stats.clopper_pearson(F.col("harmful_regressions"), F.col("paired_tasks"), 0.05 / 6), 8).alias("breakage_upper"))
 
 
 SCENARIOS = """sc AS (SELECT a, t, h, l, bc, ba, 0.0 AS m, 5.0 AS v FROM (SELECT unnest([5, 8, 10]) AS a) CROSS JOIN (SELECT unnest([0.1, 1.5]) AS t) CROSS JOIN (SELECT unnest([0.0, 5.0]) AS h) CROSS JOIN (SELECT unnest([0.0, 10.0]) AS l)
@@ -369,18 +406,38 @@ def label_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("false_accepts", "false_rejects", F.round("unit_cost", 5).alias("unit_cost"), F.round("judged_unit_cost", 5).alias("judged_unit_cost"))
 
 
+CARD = {
+    "billing_contexts": [{"service_tier": "standard", "speed": None, "inference_geo": None}],
+    "tiers": [
+        {"up_to_input_tokens": limit, "input_per_million_usd": rate, "output_per_million_usd": 5 * rate, "cache_read_per_million_usd": rate / 10, "cache_write_per_million_usd": {"short": 1.25 * rate}}
+        for limit, rate in ((1000, 1.0), (3000, 2.0), (None, 4.0))
+    ],
+}
+
+
 @registered(
-    """WITH t AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity * 100) AS BIGINT) AS n FROM lineitem)
-SELECT CASE WHEN n <= 1000 THEN 1 WHEN n <= 3000 THEN 2 ELSE 3 END AS tier, count(*) AS calls, round(CAST(sum(n * CASE WHEN n <= 1000 THEN 1 WHEN n <= 3000 THEN 2 ELSE 4 END) AS DOUBLE) / 1000000, 6) AS cost_usd FROM t GROUP BY 1"""
+    """WITH t AS (SELECT CAST(floor(l_quantity * 100) AS BIGINT) AS n, CAST(floor(l_quantity * 10) AS BIGINT) AS o, l_linenumber AS w, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END AS q FROM lineitem),
+c AS (SELECT *, CASE WHEN n + w <= 1000 THEN 1 WHEN n + w <= 3000 THEN 2 ELSE 4 END AS rate FROM t)
+SELECT CASE rate WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS tier, count(*) AS calls, round(sum(n * rate + o * 5 * rate + w * 1.25 * rate) / 1000000 + sum(q) * 0.01, 3) AS cost_usd FROM c GROUP BY rate"""
 )
 def tier_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first tier whose limit holds a call's input."""
+    """A card's tiers as the contract's parser gives them, the first that holds a call's input, and the call's price by it."""
     from .functions import pricing
-
-    n = F.floor(F.col("l_quantity") * 100).cast("bigint")
-    tiers = F.array(*[F.struct(F.lit(i).cast("bigint").alias("tier"), F.lit(limit).cast("bigint").alias("up_to"), F.lit(rate).cast("bigint").alias("rate")) for i, limit, rate in ((1, 1000, 1), (2, 3000, 2), (3, None, 4))])
-    calls = tables.read(spark, sf_dir, "lineitem").select(n.alias("n")).withColumn("t", pricing.first_tier(tiers, F.col("n")))
-    return rounded(calls.groupBy("t.tier").agg(F.count("*").alias("calls"), money.dollars(F.sum(F.col("n") * F.col("t.rate"))).alias("cost_usd")))
+    from .functions.shapes import canonical_json
+    from .sources import contracts
+
+    parsed = contracts.tiers_of(CARD, "model", {"short"}, {canonical_json(CARD["billing_contexts"][0])})
+    rates = lambda m: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(float(v)))])
+    tiers = F.array(*[F.struct(F.lit(i).cast("bigint").alias("tier"), F.lit(t["limit"]).cast("bigint").alias("up_to"), *[F.lit(float(t[k])).alias(k) for k in ("input", "output", "cache_read")], rates(t["write"]).alias("cache_write")) for i, t in enumerate(parsed, 1)])
+    n, written = F.floor(F.col("l_quantity") * 100).cast("bigint"), F.col("l_linenumber").cast("bigint")
+    none = F.lit(0).cast("bigint")
+    usage = F.struct(
+        n.alias("input_tokens"), F.floor(F.col("l_quantity") * 10).cast("bigint").alias("output_tokens"), none.alias("cache_read_input_tokens"),
+        F.create_map(F.lit("short"), written).alias("cache_creation"), F.create_map(F.lit("search"), F.when(F.col("l_returnflag") == "R", F.lit(2).cast("bigint")).otherwise(none)).alias("server_tool_use"),
+    )
+    calls = tables.read(spark, sf_dir, "lineitem").select(usage.alias("u"), pricing.first_tier(tiers, n + written).alias("t"))
+    cost = pricing.call_cost(F.col("u"), F.col("t"), F.create_map(F.lit("search"), F.lit(0.01)))
+    return calls.withColumn("cost", cost).groupBy("t.tier").agg(F.count("*").alias("calls"), F.round(F.sum("cost"), 3).alias("cost_usd"))
 
 
 @registered(
@@ -409,11 +466,16 @@ def economic_parent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.where("economic").join(above, "parent").where("parent_event is not null").select("parent_event", F.col("node").alias("event")).distinct()
 
 
-@registered("SELECT conv_id, CAST(max(turn) AS BIGINT) AS deepest FROM conversations GROUP BY conv_id")
+@registered(
+    """WITH RECURSIVE w AS (SELECT conv_id, turn, 0 AS depth FROM conversations WHERE turn = 0
+UNION ALL SELECT c.conv_id, c.turn, w.depth + 1 FROM conversations c JOIN w ON c.conv_id = w.conv_id AND c.turn > 0 AND w.turn = (c.turn - 1) // 2)
+SELECT conv_id, CAST(max(depth) AS BIGINT) AS deepest, count(*) AS members FROM w GROUP BY conv_id"""
+)
 def spawn_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depths below the roots, by a recursive query; the parents of turns are those before them."""
-    found = graphs.depths(_turns(spark, sf_dir), "node", "parent")
-    return found.select(F.split_part("node", F.lit(":"), F.lit(1)).cast("bigint").alias("conv_id"), "depth").groupBy("conv_id").agg(F.max("depth").cast("bigint").alias("deepest"))
+    """How deep trees are in which every member starts up to two others, by pointer doubling."""
+    turns = _turns(spark, sf_dir).withColumn("parent", F.when(F.col("turn") > 0, F.concat_ws(":", F.col("conv_id").cast("string"), F.floor((F.col("turn") - 1) / 2).cast("string"))))
+    found = graphs.depths(turns, "node", "parent")
+    return found.groupBy(F.split_part("root", F.lit(":"), F.lit(1)).cast("bigint").alias("conv_id")).agg(F.max("depth").alias("deepest"), F.count("*").alias("members"))
 
 
 @registered("SELECT o_orderkey AS trace, l_linenumber + 0 AS span, CASE WHEN l_returnflag = 'N' THEN 'chat' ELSE 'execute_tool' END AS operation, CAST(floor(l_quantity) AS BIGINT) AS input_tokens FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
@@ -432,26 +494,70 @@ def span_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select(F.col("span.traceId").cast("bigint").alias("trace"), F.col("span.spanId").cast("bigint").alias("span"), value("gen_ai.operation.name").getField("stringValue").alias("operation"), value("gen_ai.usage.input_tokens").getField("intValue").cast("bigint").alias("input_tokens"))
 
 
-@registered("SELECT l_orderkey AS message, count(*) AS fragments, CAST(max(floor(l_quantity)) AS BIGINT) AS output_tokens, min(l_shipdate) AS first_at, count(DISTINCT l_linestatus) = 1 AS one_model FROM lineitem GROUP BY l_orderkey")
+@registered(
+    """SELECT l_orderkey AS message, count(*) AS fragments, min(l_linestatus) AS model, CAST(max(floor(l_quantity)) AS BIGINT) AS output_tokens, min(l_shipdate) AS first_at,
+  CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'model' END AS problem FROM lineitem GROUP BY l_orderkey"""
+)
 def fragment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments of a streamed message merged: fields that must agree, the largest output, the first time."""
-    line = tables.read(spark, sf_dir, "lineitem")
-    return line.groupBy(F.col("l_orderkey").alias("message")).agg(F.count("*").alias("fragments"), F.max(F.floor("l_quantity")).cast("bigint").alias("output_tokens"), F.min("l_shipdate").alias("first_at"), (F.count_distinct("l_linestatus") == 1).alias("one_model"))
+    """Fragments of streamed messages merged: fields that must agree, the largest output, the first time."""
+    from .sources import sessions
+
+    fragments = tables.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("message"), F.col("l_linestatus").alias("model"), F.floor("l_quantity").cast("bigint").alias("output_tokens"), F.col("l_shipdate").alias("timestamp"))
+    return sessions.merged_fragments(fragments, fixed=("model",))
 
 
-@registered("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, min(turn) AS first_turn FROM conversations GROUP BY role")
+@registered("SELECT role, count(*) AS calls, count(DISTINCT conv_id) AS sessions, min(turn) AS first_at FROM conversations GROUP BY role")
 def inventory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A24, A13, A25."""
-    return tables.read(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.min("turn").alias("first_turn"))
+    from .sources import sessions
+
+    return sessions.inventory_counts(tables.read(spark, sf_dir, "conversations"), "role", "conv_id", "turn")
+
+
+@registered("SELECT conv_id, turn, 'cc-task-' || sha256(CAST(conv_id AS VARCHAR) || chr(0) || role || CAST(turn AS VARCHAR)) AS event_id, sha256(text) AS input_digest FROM conversations WHERE text IS NOT NULL")
+def opaque_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that tell nothing of what they stand for."""
+    turns = tables.read(spark, sf_dir, "conversations").where("text is not null")
+    return turns.select("conv_id", "turn", shapes.opaque_id("cc-task", F.col("conv_id").cast("string"), F.concat("role", F.col("turn").cast("string"))).alias("event_id"), F.sha2("text", 256).alias("input_digest"))
 
 
 @registered("SELECT doc_id, sha256(text) AS input_digest, regexp_matches(sha256(text), '^[0-9a-f]{64}$') AS valid FROM documents WHERE text IS NOT NULL")
 def id_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P14, P26, D5."""
+    """P26, D5."""
     docs = tables.read(spark, sf_dir, "documents").where("text is not null")
     return docs.select("doc_id", F.sha2("text", 256).alias("input_digest")).withColumn("valid", F.col("input_digest").rlike("^[0-9a-f]{64}$"))
 
 
+@registered(
+    """WITH v AS (SELECT doc_id, criterion, CASE WHEN doc_id % 13 = 0 AND criterion = 'b' THEN NULL WHEN criterion = 'a' THEN least(n_chars / 4000, 1.0) ELSE CASE WHEN lang = 'en' THEN 1.0 ELSE 0.25 END END AS score FROM documents CROSS JOIN (SELECT unnest(['a', 'b']) AS criterion)),
+r AS (SELECT doc_id, CASE WHEN count(score) = 2 THEN sum(score * CASE criterion WHEN 'a' THEN 0.75 ELSE 0.25 END) END AS overall FROM v GROUP BY doc_id)
+SELECT doc_id AS task_id, coalesce(overall >= 0.5, false) AS acceptable, CASE WHEN overall >= 0.5 THEN 8.0 ELSE 0.0 END AS business_value_usd, CASE WHEN overall < 0.5 THEN 12.0 ELSE 0.0 END AS human_minutes,
+  CASE WHEN overall < 0.5 THEN 0.5 ELSE 0.0 END AS remediation_cost_usd, CASE WHEN overall < 0.5 THEN 1.0 ELSE 0.0 END AS incident_loss_usd, overall IS NULL AS judge_error FROM r"""
+)
+def rubric_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by criterion weighted to verdicts, and the outcome rows of accepted, rejected and unjudged tasks."""
+    docs = tables.read(spark, sf_dir, "documents").withColumn("criterion", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    score = F.when((F.col("doc_id") % 13 == 0) & (F.col("criterion") == "b"), None).when(F.col("criterion") == "a", F.least(F.col("n_chars") / 4000, F.lit(1.0))).otherwise(F.when(F.col("lang") == "en", 1.0).otherwise(0.25))
+    weights = spark.createDataFrame([("a", 0.75), ("b", 0.25)], "criterion string, weight double")
+    verdicts = labels.rubric_verdict(docs.select(F.col("doc_id").alias("task_id"), "criterion", score.alias("score")), weights, 0.5)
+    return labels.outcome_rows(verdicts, {"business_value_usd": 8.0, "failure_human_minutes": 12.0, "failure_remediation_cost_usd": 0.5, "failure_incident_loss_usd": 1.0})
+
+
+@registered("SELECT rate, error, round(error / (rate - error), 9) AS exact, round(error / rate, 9) AS first_order FROM (SELECT unnest([0.9, 0.5, 0.2, 0.1]::DOUBLE[]) AS rate) CROSS JOIN (SELECT unnest([0.01, 0.05]::DOUBLE[]) AS error)")
+def proposition_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The amplification table of the report on label error."""
+    return propositions.amplification_table(spark).select("rate", "error", F.round("exact", 9).alias("exact"), F.round("first_order", 9).alias("first_order"))
+
+
+@registered("SELECT true AS ratio_holds, CAST(0 AS BIGINT) AS broken_bounds, true AS flips_hold")
+def propositions_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Propositions 1, 3 and 4 on thousands of workloads."""
+    trials = propositions.summed(propositions.workloads(spark))
+    one, three, four = propositions.ratio_distortion(trials), propositions.difference_bound(trials), propositions.flip_gap(spark)
+    joined = one.crossJoin(three).crossJoin(four)  # one row each
+    return joined.select((F.col("worst") < 1e-9).alias("ratio_holds"), F.col("broken").alias("broken_bounds"), (F.col("excess") < 1e-9).alias("flips_hold"))
+
+
 @registered(f"WITH {ROLLUP} SELECT task_id, round(CAST(eff AS DOUBLE) / 1000000, 6) AS effective_cost_usd FROM tk WHERE NOT ok ORDER BY eff DESC, task_id LIMIT 5")
 def topk_failing_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2."""
@@ -461,7 +567,8 @@ def topk_failing_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM labels) SELECT doc_id FROM s WHERE (rn - 1) % 20 = 0")
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: every twentieth of the sorted ids. Ranks come from counts of ranges, so no task sorts all rows."""
-    ids = tables.read(spark, sf_dir, "labels").select("doc_id").repartitionByRange("doc_id").withColumn("_part", F.spark_partition_id()).persist()
+    ids = tables.read(spark, sf_dir, "labels").select("doc_id").repartitionByRange("doc_id").withColumn("_part", F.spark_partition_id())
+    ids = graphs.cut(ids)  # written, so that both uses see the same ranges
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     starts = ids.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     local = ids.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy("doc_id")))
@@ -492,6 +599,18 @@ def derived_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.drop("cost_per_attempt_usd")).join(found.select("arm", F.round("cost_per_attempt_usd", 12).alias("cost_per_attempt_usd")), "arm")
 
 
+@registered(
+    """WITH RECURSIVE st AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
+e AS (SELECT DISTINCT user_id, a, b FROM st WHERE b IS NOT NULL),
+walk AS (SELECT user_id, a AS low, b AS at, CASE WHEN a = b THEN [a] ELSE [a, b] END AS path, a = b AS closed FROM e WHERE b >= a
+  UNION ALL SELECT w.user_id, w.low, e.b, CASE WHEN e.b = w.low THEN w.path ELSE list_append(w.path, e.b) END, e.b = w.low FROM walk w JOIN e ON e.user_id = w.user_id AND e.a = w.at WHERE NOT w.closed AND (e.b = w.low OR (e.b > w.low AND NOT list_contains(w.path, e.b))))
+SELECT CAST(user_id AS VARCHAR) AS task_id, count(*) > 0 AS cyclic FROM walk WHERE closed GROUP BY user_id"""
+)
+def cyclic_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users among whose events some lead back to where they began."""
+    return cycle_findings(spark, sf_dir).groupBy("task_id").agg((F.count("*") > 0).alias("cyclic"))
+
+
 @registered()
 def cycle_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed cycles among the event types that follow each other for a user."""
@@ -500,7 +619,7 @@ def cycle_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.cycle_findings(steps.select("user_id", "event_type", "next").distinct(), "user_id", "event_type", "next").select("task_id", F.array_join("cycle", ">").alias("cycle"))
 
 
-@registered()
+@registered("""SELECT event_type, CASE WHEN props IS NULL THEN '["object",[]]' ELSE '["object",[' || array_to_string(list_transform(list_sort(json_keys(props)), lambda k: '["' || k || '","' || CASE json_type(props, '$.' || k) WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'str' ELSE lower(json_type(props, '$.' || k)) END || '"]'), ',') || ']]' END AS shape, count(*) AS events FROM events GROUP BY ALL""")
 def argument_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each shape of arguments comes with each name."""
     calls = tables.read(spark, sf_dir, "events").withColumn("shape", shapes.argument_shape(F.col("props")))
