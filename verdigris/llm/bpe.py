@@ -48,19 +48,14 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-#: What a chunk or a text gives: its ids as text, its tokens as text, both with one space between, and its ids as 32-bit integers.
-Encoded = tuple[bytes, bytes, bytes]
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 18
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
-def joined(parts: list[Encoded]) -> Encoded:
-    """The entry of what stands in a row; parts without ids add nothing."""
-    if not parts:
-        return b"", b"", b""
-    ids, tokens, raw = zip(*parts, strict=True)
-    if b"" in raw:
-        return joined([p for p in parts if p[2]])
-    return b" ".join(ids), b" ".join(tokens), b"".join(raw)
+def packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit integers: what the caches hold of a chunk."""
+    return np.array(ids, np.int32).tobytes()
 
 
 class _Cache(dict):
@@ -125,9 +120,6 @@ class ChunkCodec:
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _entry(self, ids: list[int]) -> Encoded:
-        return b" ".join([self.number[i] for i in ids]), b" ".join([self.token[i] for i in ids]), np.array(ids, np.int32).tobytes()
-
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -142,7 +134,7 @@ class ChunkCodec:
             alone = [p for p, t, w in zip(pieces, texts, letters, strict=True) if not w and (self.mark is None or _MARK in t)]
         alone = alone + self._split(words, " ") + self._split(marked, f" {_MARK} ")
         for piece, ids in zip(alone, self._batch([p.decode() for p in alone]), strict=True):
-            self.fine[piece] = self._entry(ids)
+            self.fine[piece] = packed(ids)
 
     def _split(self, words: list[str], between: str) -> list[bytes]:
         """Encodes groups of fine chunks, cut again at the ids that end them; those of groups that can't be cut are returned."""
@@ -155,14 +147,14 @@ class ChunkCodec:
             if len(ends) != len(group):
                 failed += [w.encode() for w in group]
                 continue
-            number, token, raw, a = [self.number[i] for i in ids], [self.token[i] for i in ids], code.tobytes(), 0
+            raw, a = code.tobytes(), 0
             for word, b in zip(group, ends, strict=True):
-                self.fine[word.encode()] = b" ".join(number[a:b]), b" ".join(token[a:b]), raw[4 * a : 4 * b]
+                self.fine[word.encode()] = raw[4 * a : 4 * b]
                 a = b + skip
         return failed
 
-    def _fine(self, pieces: list[bytes]) -> list[Encoded]:
-        """The entries of fine chunks."""
+    def _fine(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of fine chunks."""
         found, missing = self.fine.known(pieces)
         if missing:
             self._learn(list(dict.fromkeys([pieces[i] for i in missing])))
@@ -175,21 +167,25 @@ class ChunkCodec:
 
         The right side begins with its white space.
         """
-        new = list(dict.fromkeys([pairs[i] for i in self.joins.known(pairs)[1]]))
+        keys = [a + b for a, b in pairs]  # the left side has no white space, so each pair is a key of its own
+        found, missing = self.joins.known(keys)
+        new = list(dict.fromkeys([pairs[i] for i in missing]))
         sides = self._fine([x for a, b in new for x in (a, b.lstrip(_SPACE))]) if self.separable else []
         for i, ((left, right), ids) in enumerate(zip(new, self._batch([(a + b).decode() for a, b in new]), strict=True)):
             if self.separable:
-                alone = sides[2 * i][2] + sides[2 * i + 1][2]
+                alone = sides[2 * i] + sides[2 * i + 1]
             else:
-                alone = np.array(self._library(left.decode()) + self._library(right.decode()), np.int32).tobytes()
-            self.joins[left, right] = np.array(ids, np.int32).tobytes() == alone
-        return [self.joins[p] for p in pairs]
+                alone = packed(self._library(left.decode()) + self._library(right.decode()))
+            self.joins[left + right] = packed(ids) == alone
+        for i in missing:
+            found[i] = self.joins[keys[i]]
+        return found
 
-    def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> list[Encoded]:
-        """The entries of the texts of one buffer of bytes."""
+    def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The packed ids of the texts of one buffer of bytes."""
         raw = data.tobytes()
         if not self.reuse:
-            return [self._entry(self._library(raw[a:b].decode())) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return [packed(self._library(raw[a:b].decode())) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         _, starts, ends, first = tv.words(data, offsets)
         up, down = tv.powers(len(data) + 1)
         with np.errstate(over="ignore"):
@@ -216,16 +212,16 @@ class ChunkCodec:
         out, at = [], np.searchsorted(row, np.arange(len(offsets))).tolist()
         for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
             if a == b and not self.separable:  # white space alone may have tokens too
-                out.append(self._entry(self._library(raw[offsets[r] : offsets[r + 1]].decode())))
+                out.append(packed(self._library(raw[offsets[r] : offsets[r + 1]].decode())))
                 continue
-            done: list[tuple[bytes, Encoded, bool]] = []  # the last says whether it has been merged
+            done: list[tuple[bytes, bytes, bool]] = []  # the last says whether it has been merged
             for i in range(a, b):
                 chunk, entry, merged = chunks[i], entries[i], False
                 while done and not (self._join_whole(done[-1][0], chunk) if merged or done[-1][2] else i not in broken):
                     chunk, merged = done.pop()[0] + chunk, True
-                    entry = self._entry(self._library(chunk.decode()))
+                    entry = packed(self._library(chunk.decode()))
                 done.append((chunk, entry, merged))
-            out.append(joined([e for _, e, _ in done]))
+            out.append(b"".join([e for _, e, _ in done]))
         return out
 
     def _join_whole(self, left: bytes, right: bytes) -> bool:
@@ -233,34 +229,42 @@ class ChunkCodec:
         a, b = left.decode(), right.decode()
         return self._library(a + b) == self._library(a) + self._library(b)
 
-    def _chunks(self, raw: bytes, chunks: list[bytes], begin: np.ndarray, end: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[Encoded]:
-        """The entries of chunks, of which chunk i holds the words from begin[i] to end[i]."""
+    def _chunks(self, raw: bytes, chunks: list[bytes], begin: np.ndarray, end: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The packed ids of chunks, of which chunk i holds the words from begin[i] to end[i]."""
         found, missing = self.coarse.known(chunks)
         new = {chunks[i]: i for i in missing}
-        known: dict[bytes, Encoded] = {}
+        known: dict[bytes, bytes] = {}
         if self.separable:
             at = [(int(begin[i]), int(end[i])) for i in new.values()]
             s, e = starts.tolist(), ends.tolist()
             entries = self._fine([raw[s[w] : e[w]] for a, b in at for w in range(a, b)])
             place = 0
             for chunk, (a, b) in zip(new, at, strict=True):
-                known[chunk] = joined(entries[place : place + b - a])
+                known[chunk] = b"".join(entries[place : place + b - a])
                 place += b - a
         else:
             for chunk, ids in zip(new, self._batch([c.decode() for c in new]), strict=True):
-                known[chunk] = self._entry(ids)
+                known[chunk] = packed(ids)
         self.coarse.update((c, e) for c, e in known.items() if len(c) <= COARSE_BYTES)
-        return [e or known[c] for c, e in zip(chunks, found, strict=True)]
+        return [known[c] if e is None else e for c, e in zip(chunks, found, strict=True)]
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a whole text; a null text has none."""
         data = np.frombuffer((text or "").encode(), np.uint8)
-        return np.frombuffer(self.encode_slice(data, np.array([0, len(data)]))[0][2], np.int32).tolist()
+        return np.frombuffer(self.encode_slice(data, np.array([0, len(data)]))[0], np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def numbers(self, ids: list[int]) -> bytes:
+        """Decimal ids with one space between."""
+        return b" ".join([self.number[i] for i in ids])
+
+    def decoded(self, ids: list[int]) -> bytes:
+        """What the ids decode to, in UTF-8."""
         if self.plain_decoder:
-            return b" ".join([self.token[i] for i in ids]).decode()
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+            return b" ".join([self.token[i] for i in ids])
+        return self.tokenizer.decode(ids, skip_special_tokens=False).encode()
+
+    def decode(self, ids: list[int]) -> str:
+        return self.decoded(ids).decode()
 
 
 def _codec(path: str) -> ChunkCodec:
@@ -283,15 +287,18 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(tokenizer_path)
         for batch in batches:
-            for lo, hi, data, offsets in tv.text_slices(batch.column(1)):
+            for lo, hi, data, offsets in tv.text_slices(batch.column(1), SLICE):
                 done = codec.encode_slice(data, offsets)
-                sizes = np.array([len(e[2]) // 4 for e in done], np.int64)
-                decoded = [e[1] if codec.plain_decoder else codec.decode(np.frombuffer(e[2], np.int32).tolist()).encode() for e in done]
+                sizes = np.array([len(e) // 4 for e in done], np.int64)
+                digests = []
+                for e in done:
+                    ids = np.frombuffer(e, np.int32).tolist()
+                    digests.append((hashlib.sha256(codec.numbers(ids)).hexdigest(), hashlib.sha256(codec.decoded(ids)).hexdigest()))
                 columns = {"id": batch.column(0).slice(lo, hi - lo), "n_tokens": pa.array(sizes)}
                 if keep_ids:
-                    columns["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.frombuffer(b"".join([e[2] for e in done]), np.int32))
-                columns["ids_sha256"] = pa.array([hashlib.sha256(e[0]).hexdigest() for e in done], pa.string())
-                columns["decoded_sha256"] = pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())
+                    columns["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.frombuffer(b"".join(done), np.int32))
+                columns["ids_sha256"] = pa.array([d[0] for d in digests], pa.string())
+                columns["decoded_sha256"] = pa.array([d[1] for d in digests], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
     ids = "ids array<int>, " if keep_ids else ""
