@@ -228,6 +228,15 @@ def test_bpe_buffers_of_many_texts(name, monkeypatch):
         rng.shuffle(many)
 
 
+def test_a_worker_keeps_the_codec_until_another_operator_comes():
+    path = queries.tokenizer_path()
+    first = bpe._codec(path)
+    assert bpe._codec(path) is first
+    tv.kept("quality")["model"] = 1
+    assert "bpe" not in tv._kept and tv.kept("quality") == {"model": 1}
+    assert bpe._codec(path) is not first and tv._kept.keys() == {"bpe"}
+
+
 def shingles(text):
     w = WORD.findall(lowered(text))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

@@ -25,6 +25,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A pseudo-random 64-bit value for each byte.
 BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
+_kept: dict[str, dict] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,6 +69,14 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
+def kept(operator: str) -> dict:
+    """What this worker process keeps between tasks of ``operator``; what it kept for another goes, as workers serve all of them in turn."""
+    if operator not in _kept:
+        _kept.clear()
+        trim()
+    return _kept.setdefault(operator, {})
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lower-cased bytes, word starts, word ends, first word of each row with the total last)."""
     low = _LOWER[data]

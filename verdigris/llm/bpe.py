@@ -35,7 +35,6 @@ COARSE_BYTES = 16_384
 _WINDOW = 16
 #: Stands between fine chunks that are encoded in one text, where their last ids don't say so themselves; those that hold it are encoded alone.
 _MARK = "\x01"
-_open: dict[str, "ChunkCodec"] = {}
 
 
 def tokenizer_path() -> str:
@@ -268,9 +267,11 @@ class ChunkCodec:
 
 
 def _codec(path: str) -> ChunkCodec:
-    if path not in _open:
-        _open[path] = ChunkCodec(path)
-    return _open[path]
+    """The worker's codec; it and its caches serve tasks until another operator's come."""
+    codecs = tv.kept("bpe")
+    if path not in codecs:
+        codecs[path] = ChunkCodec(path)
+    return codecs[path]
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

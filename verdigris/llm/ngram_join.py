@@ -110,6 +110,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: flo
     edges = band_edges(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tv.kept("ngram_join")
         met: set[int] = set()
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
@@ -171,6 +172,7 @@ def candidate_pairs(rows: DataFrame, threshold: float, across: int | None = None
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tv.kept("ngram_join")
         for batch in runs(batches, 3):
             edge = bounds(batch, 3)
             cls = np.asarray(batch.column(3))
@@ -225,6 +227,7 @@ def exact_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: Data
     mine = ids.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").union(ids.where("doc_id is null")).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tv.kept("ngram_join")
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 sets = [x for x in shingle_sets(whole.slice(lo, 1000).column(0), k) if len(x)]
@@ -240,6 +243,7 @@ def wide_sketches(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: D
     mine = ids.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").union(ids.where("doc_id is null")).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tv.kept("ngram_join")
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 sets = [x for x in shingle_sets(whole.slice(lo, 1000).column(0), k) if len(x)]

@@ -191,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     mine = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tv.kept("quality")
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(1), "f": pa.array(list(feature_sets(batch.column(2))), pa.list_(pa.int32()))})
 
@@ -210,6 +211,7 @@ def score(docs: DataFrame, model: NbSvm, *, id_col: str = "doc_id", text_col: st
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tv.kept("quality")
         mine = NbSvm(*shared.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
@@ -239,6 +241,7 @@ def keep_good(docs: DataFrame, model: NbSvm, *, text_col: str = "text", threshol
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tv.kept("quality")
         mine = NbSvm(*shared.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
