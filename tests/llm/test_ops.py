@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -626,6 +627,42 @@ def test_graph_search_finds_the_nearest():
     assert np.mean([len(set(a) & set(b)) / 4 for a, b in zip(order, exact, strict=True)]) > 0.95
 
 
+def test_fitting_and_searching_hold_blocks_only():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8192, 8))
+    fitted = ann.Centroids.fit(x, 1024, float(np.linalg.norm(x, axis=1).max()))
+    tracemalloc.start()
+    try:
+        fitted.calibrate(x, 20)
+        place = fitted.assign(x)
+        assert tracemalloc.get_traced_memory()[1] < 80e6  # a matrix of all rows by all centroids alone is 67 MB, and there were several
+    finally:
+        tracemalloc.stop()
+    exact = ann.nearest(ann.lift(x, fitted.top), fitted.points)
+    assert np.mean(place[:, 0] == exact) > 0.95 and fitted.visited < 1024
+    wide, near = fitted.search(fitted.aim(x[:40]), 4 * ann.WIDTH)  # several centroids are expanded in a step
+    best = np.sort(ann.squared(fitted.aim(x[:40]), fitted.points), axis=1)[:, 4 * ann.WIDTH - 1 :][:, :1]
+    assert (near <= best + 1e-9).mean() > 0.9 and all(len(set(w)) == len(w) for w in wide.tolist())
+
+
+def test_nearest_sends_no_sample_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 12))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    whole = {tuple(r) for r in ann.search(frame, list_rows=100).collect()}
+
+    def refuse(*_args, **_more):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(ann.Centroids, "fit", refuse)
+    monkeypatch.setattr(type(frame), "toArrow", refuse)
+    assert {tuple(r) for r in ann.search(frame, list_rows=100).collect()} == whole and len(whole) == 75 * 20
+    monkeypatch.setattr(ann, "PART_ROWS", 64)  # nearly every list is cut, as in a large table
+    monkeypatch.setattr(ann, "QUERY_ROWS", 8)
+    monkeypatch.setattr(F, "create_map", refuse)  # the pieces of lists are no part of the plan
+    assert {tuple(r) for r in ann.search(frame, list_rows=100).collect()} == whole
+
+
 def brute_ppm(train, text, order, escape):
     """PPM with exclusion, symbol by symbol."""
     counts = {}

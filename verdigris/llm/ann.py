@@ -3,8 +3,9 @@
 * Index: rows go to the list of their nearest centroid, and boundary rows to other lists whose centroid is not much
   farther (CLOSURE times the nearest distance), at most REPLICAS of them. Largest inner products become nearest
   points by one more component that gives every row the same norm.
-* Fit: centroids by balanced k-means on a sample of the rows whose ids hash lowest, on the driver: an eighth of the
-  table, at least LEAST_SAMPLE and at most SAMPLE rows. Over FLAT centroids are found in two steps, groups first and
+* Fit: centroids by balanced k-means on a sample of the rows whose ids hash lowest, in one task of an executor: an eighth
+  of the table, at least LEAST_SAMPLE and at most SAMPLE rows, or fewer that hold some SAMPLE_CELLS components. Only the
+  centroids and one row for each list come to the driver. Over FLAT centroids are found in two steps, groups first and
   then the centroids of each group. Lists hold about LIST_ROWS rows each, until there are SAMPLE / 16 of them.
   A list that holds many rows all the same, such as one of copies, is cut into parts of PART_ROWS by a hash, and a
   query that selects the list goes to all of them; so no task has more than a part.
@@ -17,19 +18,23 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize
 from .embedding_dedup import vectors_of
 
 SAMPLE, LEAST_SAMPLE = 131_072, 16_384
+SAMPLE_CELLS = SAMPLE * 128
+#: Cells of a matrix of rows by centroids or by sampled rows that is held at once.
+CELLS = 1 << 20
 #: Rows of a list, about; one list for fewer rows than two lists hold.
 LIST_ROWS = 256
 FLAT = 512
@@ -77,51 +82,83 @@ class Centroids:
             points = np.concatenate([balanced(rows[home == g], max(1, round(share[g])), seed + 1 + g) for g in range(groups) if share[g] > 0])
         lists = len(points)
         degree = min(DEGREE, lists - 1)
-        graph = np.empty((lists, degree), np.int64)
-        for lo in range(0, lists, 1024):
-            far = squared(points[lo : lo + 1024], points)
+        own = np.arange(lists)[:, None]
+        graph = np.empty((lists, degree), np.int32)
+        step = max(1, CELLS // lists)
+        for lo in range(0, lists, step):
+            far = squared(points[lo : lo + step], points)
             far[np.arange(len(far)), np.arange(lo, lo + len(far))] = np.inf
-            graph[lo : lo + 1024] = np.argsort(far, axis=1, kind="stable")[:, :degree]
-        jump = (np.arange(lists)[:, None] + 1 + np.arange(2)[None, :] * max(1, lists // 2)) % max(1, lists)  # a ring keeps the graph connected
+            near = np.argpartition(far, degree - 1, axis=1)[:, :degree] if degree else np.empty((len(far), 0), np.int64)
+            graph[lo : lo + step] = np.take_along_axis(near, np.lexsort((near, np.take_along_axis(far, near, 1))), 1)
+        for jump in (1, 1 + max(1, lists // 2)):  # a ring keeps the graph connected
+            to = (own + jump) % lists
+            graph = np.concatenate([graph, np.where((graph == to).any(1, keepdims=True), own, to).astype(np.int32)], 1)  # its own number where it is a neighbour already
         entries = np.unique(nearest(balanced(points, min(lists, 16), seed), points))
-        return cls(points, np.concatenate([graph, jump], 1), top, entries=entries)
+        return cls(points, graph, top, entries=entries)
 
     def search(self, rows: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, squared distances) of each row's ``wide`` nearest centroids as the graph search finds them, nearest first.
 
         Infinite distances stand behind them if the search met fewer.
         """
-        n, lists = len(rows), len(self.points)
+        lists = len(self.points)
         wide = min(wide, lists)
-        seen = np.full((n, lists), np.inf)
-        todo = np.full((n, lists), np.inf)
-        at = np.arange(n)
-        own = (rows * rows).sum(1)
         norm = (self.points * self.points).sum(1)
+        if wide < lists:  # a byte is held for each of a row's centroids, and the points that a step visits
+            at_once = max(1, wide // WIDTH)
+            step = max(1, 4 * CELLS // max(lists, at_once * self.graph.size // lists * rows.shape[1]))
+            found = [self._walk(rows[lo : lo + step], wide, norm, at_once) for lo in range(0, len(rows), step)]
+        else:  # all are wanted, so there is nothing to search
+            step = max(1, CELLS // lists)
+            found = [self._all(rows[lo : lo + step]) for lo in range(0, len(rows), step)]
+        self.visited = sum(f[2] for f in found) / max(1, len(rows))
+        if not found:
+            return np.zeros((0, wide), np.int64), np.zeros((0, wide))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _walk(self, rows: np.ndarray, wide: int, norm: np.ndarray, at_once: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """``search`` of a block of rows, and how many centroids it looked at. Of the centroids met only the ``wide`` nearest are kept; a step expands the ``at_once`` nearest of them."""
+        n = len(rows)
+        own = (rows * rows).sum(1)
+        met = np.zeros((n, len(self.points)), bool)
+        kept, far, todo = np.zeros((n, wide), np.int32), np.full((n, wide), np.inf), np.zeros((n, wide), bool)
 
         def visit(r: np.ndarray, c: np.ndarray) -> None:
-            d = np.maximum(own[r][:, None] + norm[c] - 2 * np.einsum("nd,ncd->nc", rows[r], self.points[c]), 0.0)
-            fresh = np.isinf(seen[r[:, None], c])
-            d = np.where(fresh, d, np.inf)
-            rr, cc = np.nonzero(fresh)
-            seen[r[rr], c[rr, cc]] = d[rr, cc]
-            todo[r[rr], c[rr, cc]] = d[rr, cc]
-
-        visit(at, np.repeat(self.entries[None, :], n, 0))
-        active = at
+            fresh = ~met[r[:, None], c]
+            met[r[:, None], c] = True
+            if at_once == 1:
+                d = np.where(fresh, np.maximum(own[r][:, None] + norm[c] - 2 * np.einsum("nd,ncd->nc", rows[r], self.points[c]), 0.0), np.inf)
+            else:
+                order = np.argsort(c, axis=1, kind="stable")
+                c, fresh = np.take_along_axis(c, order, 1), np.take_along_axis(fresh, order, 1)
+                fresh[:, 1:] &= c[:, 1:] != c[:, :-1]  # neighbours of two of the points expanded
+                i, j = np.nonzero(fresh)
+                d = np.full(c.shape, np.inf)
+                d[i, j] = np.maximum(own[r[i]] + norm[c[i, j]] - 2 * np.einsum("nd,nd->n", rows[r[i]], self.points[c[i, j]]), 0.0)
+            d = np.concatenate([far[r], d], 1)
+            pick = np.argpartition(d, wide - 1, axis=1)[:, :wide]
+            kept[r] = np.take_along_axis(np.concatenate([kept[r], c], 1), pick, 1)
+            far[r] = np.take_along_axis(d, pick, 1)
+            todo[r] = np.take_along_axis(np.concatenate([todo[r], fresh], 1), pick, 1)
+
+        active = np.arange(n)
+        visit(active, np.repeat(self.entries[None, :].astype(np.int32), n, 0))
         while len(active):
-            best = todo[active].argmin(1)
-            value = todo[active, best]
-            edge = np.partition(seen[active], wide - 1, axis=1)[:, wide - 1]
-            go = np.isfinite(value) & (value <= edge)
-            active, best = active[go], best[go]
-            if not len(active):
-                break
-            todo[active, best] = np.inf
-            visit(active, self.graph[best])
-        self.visited = float(np.isfinite(seen).sum(1).mean()) if n else 0.0
-        order = np.argsort(seen, axis=1, kind="stable")[:, :wide]
-        return order, np.take_along_axis(seen, order, 1)
+            left = np.where(todo[active], far[active], np.inf)
+            best = left.argmin(1)[:, None] if at_once == 1 else np.argpartition(left, at_once - 1, axis=1)[:, :at_once]
+            go = np.isfinite(np.take_along_axis(left, best, 1))  # what is no longer to do leads to points that are met
+            some = go.any(1)
+            active, best = active[some], np.where(go, best, left.argmin(1)[:, None])[some]
+            if len(active):
+                todo[active[:, None], best] = False
+                visit(active, self.graph[kept[active[:, None], best]].reshape(len(active), -1))
+        order = np.lexsort((kept, far))
+        return np.take_along_axis(kept, order, 1).astype(np.int64), np.take_along_axis(far, order, 1), int(met.sum())
+
+    def _all(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        far = squared(rows, self.points)
+        order = np.argsort(far, axis=1, kind="stable")
+        return order, np.take_along_axis(far, order, 1), far.size
 
     def calibrate(self, x: np.ndarray, k: int, recall: float = RECALL, queries: int = 256) -> None:
         """Sets the ratio by brute force in the sample."""
@@ -129,12 +166,15 @@ class Centroids:
             return
         asked = x[:: max(1, len(x) // queries)][:queries]
         mine = np.arange(len(x))[:: max(1, len(x) // queries)][:queries]
-        score = asked @ x.T
-        score[np.arange(len(asked)), mine] = -np.inf
-        near = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-        place = self.assign(x)
-        member = np.zeros((len(x), len(self.points)), bool)
-        member[np.arange(len(x))[:, None].repeat(place.shape[1], 1)[place >= 0], place[place >= 0]] = True
+        near = np.empty((len(asked), min(k, len(x) - 1)), np.int64)
+        step = max(1, CELLS // len(x))
+        for lo in range(0, len(asked), step):
+            score = asked[lo : lo + step] @ x.T
+            score[np.arange(len(score)), mine[lo : lo + step]] = -np.inf
+            near[lo : lo + step] = np.argsort(-score, axis=1, kind="stable")[:, : near.shape[1]]
+        rows = np.unique(near)
+        place = self.assign(x[rows])  # of the rows that are true neighbours
+        near = np.searchsorted(rows, near)
         self.width = WIDTH
         while True:  # a width that reaches the lists of all these neighbours
             order, far = self.search(self.aim(asked), self.width)
@@ -147,7 +187,7 @@ class Centroids:
         ratio = np.sqrt(far / np.maximum(far[:, :1], max(self.floor, 1e-12)))
         need = np.full(near.shape, np.inf)  # the ratio that the query needs for this neighbour
         for i in range(len(asked)):
-            on = member[near[i]][:, order[i]]
+            on = (place[near[i]][:, :, None] == order[i][None, None, :]).any(1)
             on &= np.isfinite(far[i])[None, :]
             need[i] = np.where(on.any(1), ratio[i][on.argmax(1)], np.inf)
         need = np.where(np.isfinite(need), need, ratio[np.isfinite(ratio)].max())
@@ -169,10 +209,15 @@ class Centroids:
     def select(self, q: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """(lists that each query looks into, which of them it looks into first)"""
         order, far = self.search(self.aim(q), self.width)
+        lists, first = self._pruned(order, far)
+        few = np.flatnonzero(np.where(np.isfinite(far), self.sizes[order], 0).sum(1) < self.least)
+        if len(few):  # the lists found hold too few rows, so all are looked at
+            for at, *more in zip(few, *self._pruned(*self.search(self.aim(q[few]), len(self.points))), strict=True):
+                lists[at], first[at] = more
+        return lists, first
+
+    def _pruned(self, order: np.ndarray, far: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         held = np.where(np.isfinite(far), self.sizes[order], 0)
-        if (held.sum(1) < self.least).any():  # the lists found hold too few rows, so all are looked at
-            order, far = self.search(self.aim(q), len(self.points))
-            held = self.sizes[order]
         keep = far <= np.maximum(far[:, :1], self.floor) * self.ratio**2 + 1e-12
         before = np.cumsum(held, axis=1) - held
         keep |= before < self.least
@@ -183,7 +228,7 @@ class Centroids:
 
 def nearest(rows: np.ndarray, points: np.ndarray, price: np.ndarray | float = 0.0) -> np.ndarray:
     """The number of each row's nearest point, in blocks."""
-    step = max(1, (1 << 22) // max(1, len(points)))
+    step = max(1, CELLS // max(1, len(points)))
     return np.concatenate([(squared(rows[lo : lo + step], points) + price).argmin(1) for lo in range(0, len(rows), step)] or [np.zeros(0, np.int64)])
 
 
@@ -254,6 +299,18 @@ def _route(rows: DataFrame, shared, queries: bool) -> DataFrame:
     return rows.mapInArrow(run, f"vec_id {kind}, d int, vec binary, list int, early boolean")
 
 
+def _lowest(rows: DataFrame, some: int) -> DataFrame:
+    """(d, vec) of the ``some`` rows whose ids hash lowest. Rows that cannot be among them, by a count of the hashes' first 12 bits, stay out of the one task that sorts."""
+    mark = F.xxhash64(F.col("vec_id").cast("string"))
+    first, seen = F.shiftright(mark, 52), 0
+    for top, n in sorted(tuple(r) for r in rows.groupBy(first).count().collect()):
+        seen += n
+        if seen >= some:
+            rows = rows.where(first <= top)
+            break
+    return rows.orderBy(mark, "vec_id").limit(some).select("d", "vec")
+
+
 def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = LIST_ROWS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for every row whose id is divisible by ``every``.
 
@@ -272,39 +329,49 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
             norm = [float(np.sqrt((np.frombuffer(v) ** 2).sum())) for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"d": batch.column(0), "norm": pa.array(norm, pa.float64())})
 
-    sizes = {r["d"]: r for r in rows.select("d", "vec").mapInArrow(norms, "d int, norm double").groupBy("d").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()}
-    some = min(sample, max(LEAST_SAMPLE, sum(r["n"] for r in sizes.values()) // 8))
-    drawn = rows.orderBy(F.xxhash64(F.col("vec_id").cast("string")), "vec_id").limit(some).select("d", "vec").toArrow()
-    fitted: dict[int, Centroids] = {}
-    widths = np.asarray(drawn.column("d"))
-    for d in np.unique(widths):
-        x = _matrix(drawn.column("vec").take(pa.array(np.flatnonzero(widths == d))).to_pylist())
-        lists = int(max(1, min(sizes[d]["n"] // list_rows, len(x) // 16)))
-        fitted[int(d)] = Centroids.fit(x, lists, sizes[d]["top"])
-        fitted[int(d)].calibrate(x, k, recall)
+    sizes = {r["d"]: (r["n"], r["top"]) for r in rows.select("d", "vec").mapInArrow(norms, "d int, norm double").groupBy("d").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()}
+    n, cells = sum(m for m, _ in sizes.values()), sum(m * d for d, (m, _) in sizes.items())
+    some = min(sample, max(LEAST_SAMPLE, n // 8), max(1, SAMPLE_CELLS * n // max(1, cells)))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            widths = np.asarray(batch.column(0))
+            for d in np.unique(widths):
+                drawn.setdefault(int(d), []).append(_matrix(batch.column(1).take(pa.array(np.flatnonzero(widths == d))).to_pylist()))
+        for d in sorted(drawn):
+            x = np.concatenate(drawn.pop(d))
+            lists = int(max(1, min(sizes[d][0] // list_rows, len(x) // 16)))
+            centroids = Centroids.fit(x, lists, sizes[d][1])
+            centroids.calibrate(x, k, recall)
+            yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "fitted": pa.array([pickle.dumps(centroids)], pa.binary())})
+
+    drawn = _lowest(rows, some).coalesce(1).mapInArrow(fit, "d int, fitted binary")
+    fitted: dict[int, Centroids] = {r["d"]: pickle.loads(r["fitted"]) for r in drawn.collect()}
     index = materialize(_route(rows, spark.sparkContext.broadcast(fitted), queries=False), "postings")
-    held = index.groupBy("d", "list").count().collect()  # one row for each list
-    for d, centroids in fitted.items():
+    held = materialize(index.groupBy("d", "list").count(), "list-sizes")
+    for centroids in fitted.values():
         centroids.sizes, centroids.least = np.zeros(len(centroids.points), np.int64), (k + 1) * REPLICAS  # no row stands in more lists than that
-        for r in held:
-            if r["d"] == d:
-                centroids.sizes[r["list"]] = r["count"]
+    for r in held.collect():  # one row for each list
+        if r["d"] in fitted:
+            fitted[r["d"]].sizes[r["list"]] = r["count"]
     shared = spark.sparkContext.broadcast(fitted)
     asks = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "d")).alias("q")).select("vec_id", "q.d", "q.vec")
     asks = materialize(_route(asks, shared, queries=True), "asked")
 
-    def pieces(table: DataFrame, most: int) -> Column:
-        """Into how many pieces the rows of a list are cut; one row for each larger list comes to the driver."""
-        large = table.groupBy("d", "list").count().where(F.col("count") > most).collect()
-        if not large:
-            return F.lit(1)
-        known = F.create_map(*[x for r in large for x in (F.lit(f"{r['d']}:{r['list']}"), F.lit(-(-r["count"] // most)))])
-        return F.coalesce(F.try_element_at(known, F.concat_ws(":", "d", "list")), F.lit(1)).cast("int")
+    def pieces(held: DataFrame, most: int, name: str) -> DataFrame:
+        """Into how many pieces the rows of each larger list are cut; their number grows with the table, so they stay a frame."""
+        return F.broadcast(held.where(F.col("count") > most).select("d", "list", F.ceil(F.col("count") / most).cast("int").alias(name)))
 
-    parts, blocks = pieces(index, PART_ROWS), pieces(asks, QUERY_ROWS)
+    parts, blocks = pieces(held, PART_ROWS, "parts"), pieces(materialize(asks.groupBy("d", "list").count(), "asked-sizes"), QUERY_ROWS, "blocks")
     place = F.xxhash64("vec_id", "vec")
-    index = index.withColumn("part", F.pmod(place, parts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    asks = asks.withColumn("block", F.pmod(place, blocks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+    def cut(table: DataFrame, own: str, part: str, other: str, each: str) -> DataFrame:
+        """``part`` is the row's piece; the row comes once for ``each`` piece of the other side."""
+        known = table.join(parts, ["d", "list"], "left").join(blocks, ["d", "list"], "left").fillna(1, ["parts", "blocks"])
+        return known.withColumn(part, F.pmod(place, own).cast("int")).withColumn(each, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("parts", "blocks")
+
+    index, asks = cut(index, "parts", "part", "blocks", "block"), cut(asks, "blocks", "block", "parts", "part")
 
     def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The k nearest rows of one part of a list for each query, if they reach what the query has already."""
