@@ -254,7 +254,8 @@ def lift(x: np.ndarray, top: float) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, d, vec) of the rows that take part; the vector as bytes of doubles."""
+    """(vec_id, d, vec) of the rows that take part; the vector as bytes of doubles, or of floats where the table holds floats."""
+    kind = np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
     source = vectors.where(vectors[id_col].isNotNull()).select(vectors[id_col].alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,18 +264,19 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 batch = whole.slice(lo, 4096)
                 values, offsets, usable = vectors_of(batch.column(1))
                 rows = np.flatnonzero(usable)
-                vec = [(values[offsets[r] : offsets[r + 1]] + 0.0).tobytes() for r in rows]
+                vec = [(values[offsets[r] : offsets[r + 1]] + 0.0).astype(kind).tobytes() for r in rows]
                 yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0).take(pa.array(rows)), "d": np.diff(offsets)[rows].astype(np.int32), "vec": pa.array(vec, pa.binary())})
 
     return source.mapInArrow(run, f"vec_id {source.schema['vec_id'].dataType.simpleString()}, d int, vec binary")
 
 
-def _matrix(column: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+def _matrix(column: list[bytes], d: int) -> np.ndarray:
+    """Vectors of ``d`` components each in double precision."""
+    return np.frombuffer(b"".join(column), np.float32 if len(column[0]) == 4 * d else np.float64).reshape(len(column), d).astype(np.float64)
 
 
 def _route(rows: DataFrame, shared, queries: bool) -> DataFrame:
-    """Adds the list: a row for every list that a vector is put into, or that a query looks into."""
+    """Adds the lists that a vector is put into, or that a query looks into, and how many of these it looks into first."""
     kind = rows.schema["vec_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,20 +285,29 @@ def _route(rows: DataFrame, shared, queries: bool) -> DataFrame:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 d = np.asarray(batch.column(1))
-                at, lists, early = [], [], []
+                lists = [np.zeros(1, np.int32)] * len(d)
+                early = np.ones(len(d), np.int32)
                 for width in np.unique(d):
-                    mine = np.flatnonzero(d == width)
                     if width not in fitted:  # no row of this width was in the sample: one list holds them
-                        at.append(mine), lists.append(np.zeros(len(mine), np.int32)), early.append(np.ones(len(mine), bool))
                         continue
-                    x = _matrix(batch.column(2).take(pa.array(mine)).to_pylist())
-                    chosen, first = fitted[width].select(x) if queries else ([p[p >= 0] for p in fitted[width].assign(x)], [])
-                    early.append(np.concatenate(first) if queries else np.zeros(sum(map(len, chosen)), bool))
-                    at.append(np.repeat(mine, [len(c) for c in chosen])), lists.append(np.concatenate(chosen).astype(np.int32))
-                picked = pa.array(np.concatenate(at)) if at else pa.array([], pa.int64())
-                yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0).take(picked), "d": batch.column(1).take(picked), "vec": batch.column(2).take(picked), "list": np.concatenate(lists) if lists else np.zeros(0, np.int32), "early": np.concatenate(early) if early else np.zeros(0, bool)})
+                    mine = np.flatnonzero(d == width)
+                    x = _matrix(batch.column(2).take(pa.array(mine)).to_pylist(), int(width))
+                    chosen, first = fitted[width].select(x) if queries else ([p[p >= 0] for p in fitted[width].assign(x)], None)
+                    for i, at in enumerate(mine):
+                        lists[at] = chosen[i].astype(np.int32)
+                        early[at] = first[i].sum() if first else 0
+                yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "d": batch.column(1), "vec": batch.column(2), "lists": pa.array(lists, pa.list_(pa.int32())), "early": early})
+
+    return rows.mapInArrow(run, f"vec_id {kind}, d int, vec binary, lists array<int>, early int")
+
 
-    return rows.mapInArrow(run, f"vec_id {kind}, d int, vec binary, list int, early boolean")
+def _distinct(rows: DataFrame) -> DataFrame:
+    """``rows`` of a stored table without repeats; vectors are shuffled only where their id is repeated."""
+    more = materialize(rows.groupBy("vec_id").count().where("count > 1").select("vec_id"), "repeated-ids")
+    if more.isEmpty():
+        return rows
+    again = rows.join(more, "vec_id", "left_semi").dropDuplicates(["vec_id", "vec"])
+    return materialize(rows.join(more, "vec_id", "left_anti").unionByName(again), "vectors")
 
 
 def _lowest(rows: DataFrame, some: int) -> DataFrame:
@@ -321,12 +332,12 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
     Other columns are ignored, whatever their names. A vector is held whole, however many components it has.
     """
     spark = vectors.sparkSession
-    rows = materialize(_usable(vectors, id_col, vector_col).dropDuplicates(["vec_id", "vec"]), "vectors")
+    rows = _distinct(materialize(_usable(vectors, id_col, vector_col), "vectors"))
     kind = rows.schema["vec_id"].dataType.simpleString()
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            norm = [float(np.sqrt((np.frombuffer(v) ** 2).sum())) for v in batch.column(1).to_pylist()]
+            norm = [float(np.sqrt((_matrix([v], d) ** 2).sum())) for d, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"d": batch.column(0), "norm": pa.array(norm, pa.float64())})
 
     sizes = {r["d"]: (r["n"], r["top"]) for r in rows.select("d", "vec").mapInArrow(norms, "d int, norm double").groupBy("d").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()}
@@ -338,7 +349,7 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
         for batch in batches:
             widths = np.asarray(batch.column(0))
             for d in np.unique(widths):
-                drawn.setdefault(int(d), []).append(_matrix(batch.column(1).take(pa.array(np.flatnonzero(widths == d))).to_pylist()))
+                drawn.setdefault(int(d), []).append(_matrix(batch.column(1).take(pa.array(np.flatnonzero(widths == d))).to_pylist(), int(d)))
         for d in sorted(drawn):
             x = np.concatenate(drawn.pop(d))
             lists = int(max(1, min(sizes[d][0] // list_rows, len(x) // 16)))
@@ -349,7 +360,7 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
     drawn = _lowest(rows, some).coalesce(1).mapInArrow(fit, "d int, fitted binary")
     fitted: dict[int, Centroids] = {r["d"]: pickle.loads(r["fitted"]) for r in drawn.collect()}
     index = materialize(_route(rows, spark.sparkContext.broadcast(fitted), queries=False), "postings")
-    held = materialize(index.groupBy("d", "list").count(), "list-sizes")
+    held = materialize(index.select("d", F.explode("lists").alias("list")).groupBy("d", "list").count(), "list-sizes")
     for centroids in fitted.values():
         centroids.sizes, centroids.least = np.zeros(len(centroids.points), np.int64), (k + 1) * REPLICAS  # no row stands in more lists than that
     for r in held.collect():  # one row for each list
@@ -363,15 +374,16 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
         """Into how many pieces the rows of each larger list are cut; their number grows with the table, so they stay a frame."""
         return F.broadcast(held.where(F.col("count") > most).select("d", "list", F.ceil(F.col("count") / most).cast("int").alias(name)))
 
-    parts, blocks = pieces(held, PART_ROWS, "parts"), pieces(materialize(asks.groupBy("d", "list").count(), "asked-sizes"), QUERY_ROWS, "blocks")
+    parts, blocks = pieces(held, PART_ROWS, "parts"), pieces(materialize(asks.select("d", F.explode("lists").alias("list")).groupBy("d", "list").count(), "asked-sizes"), QUERY_ROWS, "blocks")
     place = F.xxhash64("vec_id", "vec")
 
     def cut(table: DataFrame, own: str, part: str, other: str, each: str) -> DataFrame:
-        """``part`` is the row's piece; the row comes once for ``each`` piece of the other side."""
-        known = table.join(parts, ["d", "list"], "left").join(blocks, ["d", "list"], "left").fillna(1, ["parts", "blocks"])
+        """A row for each list of a vector: ``part`` is its piece, and it comes once for ``each`` piece of the other side."""
+        single = table.select("*", F.posexplode("lists").alias("pos", "list")).drop("lists")
+        known = single.join(parts, ["d", "list"], "left").join(blocks, ["d", "list"], "left").fillna(1, ["parts", "blocks"])
         return known.withColumn(part, F.pmod(place, own).cast("int")).withColumn(each, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("parts", "blocks")
 
-    index, asks = cut(index, "parts", "part", "blocks", "block"), cut(asks, "blocks", "block", "parts", "part")
+    index = cut(index, "parts", "part", "blocks", "block").select("d", "list", "part", "block", "vec_id", "vec")
 
     def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The k nearest rows of one part of a list for each query, if they reach what the query has already."""
@@ -379,10 +391,10 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
         if len(left) and len(right):
             order = np.argsort(right["vec_id"].to_numpy(), kind="stable")
             ids = right["vec_id"].to_numpy()[order]
-            x = _matrix([right["vec"].iloc[i] for i in order])
+            x = _matrix([right["vec"].iloc[i] for i in order], int(key[0]))
             for lo in range(0, len(left), 256):
                 asked = left["vec_id"].to_numpy()[lo : lo + 256]
-                q = _matrix(list(left["vec"].iloc[lo : lo + 256]))
+                q = _matrix(list(left["vec"].iloc[lo : lo + 256]), int(key[0]))
                 least = left["reach"].to_numpy(np.float64, na_value=-np.inf)[lo : lo + 256].copy()
                 score = q @ x.T
                 score[asked[:, None] == ids[None, :]] = -np.inf
@@ -397,7 +409,8 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
 
     keys = ["d", "list", "part", "block"]
 
-    def hits(some: DataFrame) -> DataFrame:
+    def hits(queries: DataFrame, which: str) -> DataFrame:
+        some = cut(queries, "blocks", "block", "parts", "part").where(which).select(*keys, "vec_id", "vec", "reach")
         return some.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(best, f"query_id {kind}, vec_id {kind}, score double")
 
     def ranked(found: DataFrame) -> DataFrame:
@@ -405,7 +418,7 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "v
         return found.repartition("query_id").dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order))
 
     # What the k-th hit of its first lists scores is what a query's other lists have to reach, so they return few rows.
-    first = materialize(hits(asks.where("early").withColumn("reach", F.lit(None).cast("double"))), "first-hits")
+    first = materialize(hits(asks.withColumn("reach", F.lit(None).cast("double")), "pos < early"), "first-hits")
     reach = ranked(first).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reach"))
-    more = hits(asks.where("not early").join(reach, "vec_id", "left"))
+    more = hits(asks.join(reach, "vec_id", "left"), "pos >= early")
     return ranked(first.union(more)).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
